@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, near_dedup, sharding
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2, similar=80)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_mix_sources, op7_shard_vector_packing, op8_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_mix_sources, op7_shard_vector_packing, op8_exact_dedup)}
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
