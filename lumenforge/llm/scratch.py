@@ -25,13 +25,11 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{folder(spark)}/lumenforge/{name}-{uuid.uuid4().hex}"
-    if partitions:
-        df = df.coalesce(partitions)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

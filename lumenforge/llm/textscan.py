@@ -8,7 +8,7 @@ two different words get one hash with odds of about 2**-64 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def _word_edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    word = ~_SPACE[data]
+def _word_edges(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = table[data]
     before = np.empty_like(word)
     before[1:], before[:1] = word[:-1], False
     some = offsets[:-1] < offsets[1:]
@@ -61,7 +61,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     """Hashes of all words, and the place in them where each text's words begin (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends = _word_edges(data, offsets)
+    starts, ends = _word_edges(data, offsets, ~_SPACE)
     up, down = _powers(max(CHUNK, len(data)))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
@@ -70,6 +70,22 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return mix64(hashed), np.searchsorted(starts, offsets)
 
 
+def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of byte ranges; starts, ends and text of each run of bytes that ``table`` marks."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return lambda a, b: np.zeros(len(a), np.uint64), none, none, none
+    starts, ends = _word_edges(data, offsets, table)
+    up, down = _powers(max(CHUNK, len(data)))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64(((sums[b] - sums[a]) * down[np.minimum(a, len(data) - 1)]) ^ ((b - a).astype(np.uint64) << _U(52)))
+
+    return hashed, starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces (first row, end, bytes, offsets) of whole texts, of about CHUNK bytes unless one text is longer. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
