@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, sharding, toxicity
+from . import decontaminate, exact_dedup, mixing, near_dedup, sharding, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,5 +32,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_mix_sources, op4_toxicity, op7_shard_vector_packing, op8_exact_dedup)}
+def op9_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_mix_sources, op4_toxicity, op7_shard_vector_packing, op8_exact_dedup, op9_decontaminate_lsa)}
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
