@@ -32,7 +32,6 @@ from . import scratch
 from .textscan import chunks, mix64, runs
 
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
-NONE = np.uint16(0xFFFF)
 SHORT, COSINE, COMMON, ANSWER = 15, 0.8, 0.7, 0.5
 ITEMS = 4096
 _CHAR = np.zeros(256, dtype=bool)
@@ -78,18 +77,31 @@ def _windows(first: np.ndarray, width: int, part: bool) -> tuple[np.ndarray, np.
     return first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)) * width, row
 
 
-def _passages(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, passage) of the distinct words of each passage, by passage."""
+def _passages(t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The distinct buckets of each passage, one passage a row; DIM fills the rows up."""
     starts, row = _windows(first, PASSAGE, True)
     if not len(starts):
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        return np.zeros((0, PASSAGE), np.uint16)
     at = starts[:, None] + np.arange(PASSAGE)
     inside = at < first[1:][row][:, None]
-    b = np.where(inside, (t[np.minimum(at, len(t) - 1)] & np.uint32(DIM - 1)).astype(np.uint16), NONE)
+    b = np.where(inside, (t[np.minimum(at, len(t) - 1)] & np.uint32(DIM - 1)).astype(np.uint16), np.uint16(DIM))
     b.sort(axis=1)
-    keep = b != NONE
-    keep[:, 1:] &= b[:, 1:] != b[:, :-1]
-    return b[keep], np.repeat(np.arange(len(b)), keep.sum(axis=1))
+    again = b[:, 1:] == b[:, :-1]
+    b[:, 1:][again] = DIM
+    return b
+
+
+def scatter_sum(total: np.ndarray, bucket: np.ndarray, of: np.ndarray, y: np.ndarray, group: int = 16) -> None:
+    """``total[bucket[i]] += y[of[i]]`` for all i. Rows of one bucket are first added up in groups, which numpy does much faster."""
+    order = np.argsort(bucket, kind="stable")
+    n = np.bincount(bucket, minlength=len(total))
+    groups = -(-n // group)
+    place = np.arange(len(order)) + np.repeat((np.cumsum(groups) - groups) * group - (np.cumsum(n) - n), n)
+    at = np.full(int(groups.sum()) * group, len(y))
+    at[place] = of[order]
+    some = np.einsum("gkc->gc", np.take(np.concatenate([y, np.zeros((1, y.shape[1]), y.dtype)]), at, axis=0).reshape(-1, group, y.shape[1]))
+    used = np.flatnonzero(groups)
+    total[used] += np.add.reduceat(some, (np.cumsum(groups) - groups)[used], axis=0)
 
 
 def passage_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
@@ -97,9 +109,9 @@ def passage_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(DIM, dtype=np.int64), 0
         for batch in batches:
             for _, _, t, first in _flat(batch.column("tokens")):
-                bucket, of = _passages(t, first)
-                total += np.bincount(bucket, minlength=DIM)
-                n += int(of[-1]) + 1 if len(of) else 0
+                b = _passages(t, first)
+                total += np.bincount(b.ravel(), minlength=DIM + 1)[:DIM]
+                n += len(b)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
 
@@ -120,20 +132,20 @@ def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def sketch(rows: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'(A * omega) over the passages of all rows, summed up a tree of fan-in 16."""
-    weighted, square = (omega * idf[:, None]).astype(np.float32), (idf**2).astype(np.float32)
+    weighted = np.concatenate([omega * idf[:, None], np.zeros((1, WIDE))]).astype(np.float32)
+    square = np.append(idf**2, 0).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((DIM, WIDE))
         for batch in batches:
             for _, _, t, first in _flat(batch.column("tokens")):
-                bucket, of = _passages(t, first)
-                if not len(of):
+                b = _passages(t, first)
+                if not len(b):
                     continue
-                starts = np.flatnonzero(np.diff(of, prepend=-1))
-                y = np.add.reduceat(weighted[bucket], starts, axis=0) / np.maximum(np.add.reduceat(square[bucket], starts), 1e-9)[:, None]
-                order = np.argsort(bucket, kind="stable")
-                edge = np.flatnonzero(np.diff(bucket[order].astype(np.int32), prepend=-1))
-                total[bucket[order][edge]] += np.add.reduceat(y[of[order]], edge, axis=0)
+                norm = np.maximum(np.take(square, b).sum(axis=1), 1e-9)
+                y = np.einsum("pkc->pc", np.take(weighted, b, axis=0)) / norm[:, None]
+                real = np.flatnonzero(b.ravel() < DIM)
+                scatter_sum(total, b.ravel()[real], real // PASSAGE, y)
         total *= idf[:, None]
         parts = [total[i : i + BLOCK_ROWS].astype(np.float32).tobytes() for i in range(0, DIM, BLOCK_ROWS)]
         node = TaskContext.get().partitionId()
@@ -195,11 +207,11 @@ class Index:
                 self.short.setdefault(len(t), {}).setdefault(t.tobytes(), []).append(i)
 
     def candidates(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows, items and places in t where the item would begin. Half of the window's words must be in the item's window or beside it."""
+        """Rows, items and places in t where the item would begin. Three fifths of the window's words must be in the item's window or beside it."""
         starts, row = _windows(first, 8, False)
         rows, items, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(starts) and self.scales:
-            eight = self.basis[t[(starts[:, None] + np.arange(8)).ravel()] & np.uint32(DIM - 1)].reshape(len(starts), 8, -1).sum(axis=1)
+            eight = np.einsum("pkc->pc", np.take(self.basis, t[starts[:, None] + np.arange(8)] & np.uint32(DIM - 1), axis=0))
             nth = np.arange(len(row)) - np.searchsorted(row, row)
             for w, (index, item, offset) in self.scales.items():
                 k = w // 8
@@ -211,7 +223,7 @@ class Index:
                     n, m = np.divmod(np.flatnonzero((x[a : a + 512] @ index).ravel() > COSINE), len(item))
                     at = starts[whole[a + n]]
                     same = t[at[:, None] + np.arange(w)][:, :, None] == self.around[w][m][:, None, :]
-                    some = same.any(axis=2).sum(axis=1) * 2 >= w
+                    some = same.any(axis=2).sum(axis=1) * 5 >= 3 * w
                     n, m, at = n[some], m[some], at[some]
                     rows.append(row[whole[a + n]])
                     items.append(item[m])
