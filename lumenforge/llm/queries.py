@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, sharding, toxicity
+from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, sharding, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2, similar=80)
 
 
+def op2_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op9_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op3_mix_sources, op4_toxicity, op7_shard_vector_packing, op8_exact_dedup, op9_decontaminate_lsa)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secrets_cnn, op3_mix_sources, op4_toxicity, op7_shard_vector_packing, op8_exact_dedup, op9_decontaminate_lsa)}
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
