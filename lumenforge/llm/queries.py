@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
 def op7_shard_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -40,5 +45,23 @@ def op9_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_minhash_near_dedup, op2_secrets_cnn, op3_mix_sources, op4_toxicity, op7_shard_vector_packing, op8_exact_dedup, op9_decontaminate_lsa)}
+def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The host of a document is its source, the path its language there."""
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_secrets_cnn,
+        op3_mix_sources,
+        op4_toxicity,
+        op6_chat_role_repair,
+        op7_shard_vector_packing,
+        op8_exact_dedup,
+        op9_decontaminate_lsa,
+        op10_quality_bayes,
+    )
+}
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}

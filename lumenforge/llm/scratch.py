@@ -25,11 +25,11 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def table(df: DataFrame, name: str, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{folder(spark)}/lumenforge/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).parquet(path)
     _MADE.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
