@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textscan import chunks, mix64, runs
+from .textscan import chunks, common_length, runs
 
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
 SHORT, COSINE, COMMON, ANSWER = 15, 0.8, 0.7, 0.5
@@ -241,20 +241,6 @@ class Index:
                         yield r, i
 
 
-def common_length(x: np.ndarray, y: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
-    at: dict[int, int] = {}
-    for i, w in enumerate(x.tolist()):
-        at[w] = at.get(w, 0) | 1 << i
-    mask = (1 << len(x)) - 1
-    v = mask
-    for w in y.tolist():
-        if m := at.get(w):
-            u = v & m
-            v = (v + u) | (v - u)
-    return len(x) - (v & mask).bit_count()
-
-
 def confirmed(item: np.ndarray, near: np.ndarray) -> float:
     """Share of the item that the text has in order, or 0 if it isn't enough or the answer isn't there."""
     n = len(item)

@@ -5,11 +5,8 @@
    copies cost no links at all.
 2. In each band bucket every class is a candidate of the least class there, the centre:
    at most ``bands`` candidates a class, whatever the size of the bucket.
-3. The classes of a centre are dealt to tiles of bounded size. A tile tests the centre and
-   then every class that the centre doesn't link against the other classes, on full sets,
-   and gives the links that join what is still apart. Classes that stay open are then sent to
-   the other tiles of their centre. Two classes that share a bucket share its centre, so no
-   link between them is lost, and no pairs are written out to be tested.
+3. The classes of a centre are tested on full sets, in tiles; see ``tiles``. Two classes that
+   share a bucket share its centre, so no link between them is lost.
 4. Components of the links are found by stars; see ``components``.
 
 With 32 bands of 5 slots, two sets at a similarity of 0.8 share no bucket with odds of 3e-6.
@@ -17,20 +14,20 @@ With 32 bands of 5 slots, two sets at a similarity of 0.8 share no bucket with o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tiles
 from .components import components
 from .minhash import band_keys, superminhash
 from .textscan import chunks, mix64, shingles, words
+from .tiles import Tester
 
-SLOTS, BANDS, SALTS, TILE = 160, 32, 256, 192
+SLOTS, BANDS, SALTS = 160, 32, 256
 
 
 def _set_keys(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,54 +66,26 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def tile_links(ids: np.ndarray, raw: list[bytes], probe: np.ndarray, similar: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links (positions) that join all that is linked to a probing set, and which probes (positions) link to none of the first probe's.
+def set_tester(similar: int) -> Tester:
+    """Links sets with a Jaccard similarity of ``similar`` percent or more."""
 
-    ``probe``: positions to test against all others, in order; a set that is by then in
-    the first one's component is not tested again, as its links can't join anything new
-    there that its own tests would not: those still apart are all probes themselves.
-    """
-    sizes = np.array([len(x) // 8 for x in raw])
-    flat = np.frombuffer(b"".join(raw), dtype=np.uint64)
-    values, codes = np.unique(flat, return_inverse=True)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    parent = np.arange(len(ids))
-    links = []
-    flag = np.zeros(len(values) + 1, dtype=np.int64)
-    for p in probe.tolist():
-        mine = codes[begin[p] : begin[p + 1]]
-        flag[mine] = 1
-        counts = np.concatenate([[0], np.cumsum(flag[codes])])
-        both = counts[begin[1:]] - counts[begin[:-1]]
-        flag[mine] = 0
-        near = (100 * both >= similar * (sizes + sizes[p] - both)) & (sizes > 0)
-        for q in np.flatnonzero(near & (parent != parent[p])).tolist():
-            if parent[q] != parent[p]:
-                links.append((p, q))
-                parent[parent == parent[q]] = parent[p]
-    return links, parent
-
-
-def _verify(rows: DataFrame, similar: int, probing: str) -> DataFrame:
-    """rows: centre, tile, id, shingles, probe. Gives links a, b, and open sets: a = centre, b = id, open."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "shingles", "probe"]).sort_values(["probe", "id"], ascending=[False, True], kind="stable")
-        ids, raw, centre = pdf["id"].to_numpy(), list(pdf["shingles"]), int(pdf["centre"].iloc[0])
-        known = pdf["probe"].to_numpy()
-        out = []
-        if probing == "centre":
-            first = np.flatnonzero(ids == centre)[:1]
-            links, parent = tile_links(ids, raw, first, similar)
-            apart = np.flatnonzero(parent != parent[first[0]])
-            more, _ = tile_links(ids, raw, apart, similar)
-            out = [(int(ids[p]), int(ids[q]), False) for p, q in links + more] + [(centre, int(ids[p]), True) for p in apart]
-        else:
-            links, _ = tile_links(ids, raw, np.flatnonzero(known), similar)
-            out = [(int(ids[p]), int(ids[q]), False) for p, q in links]
-        return pd.DataFrame(out, columns=["a", "b", "open"]).astype({"a": "int64", "b": "int64", "open": "bool"})
-
-    return rows.groupBy("centre", "tile").applyInPandas(run, "a long, b long, open boolean")
+    def tester(raw: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+        sizes = np.array([len(x) // 8 for x in raw])
+        values, codes = np.unique(np.frombuffer(b"".join(raw), dtype=np.uint64), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        flag = np.zeros(len(values) + 1, dtype=np.int64)
+
+        def near(p: int, apart: np.ndarray) -> np.ndarray:
+            mine = codes[begin[p] : begin[p + 1]]
+            flag[mine] = 1
+            counts = np.concatenate([[0], np.cumsum(flag[codes])])
+            both = counts[begin[1:]] - counts[begin[:-1]]
+            flag[mine] = 0
+            return np.flatnonzero((100 * both >= similar * (sizes + sizes[p] - both)) & (sizes > 0) & apart)
+
+        return near
+
+    return tester
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, similar: int) -> DataFrame:
@@ -124,24 +93,11 @@ def links(docs: DataFrame, classes: DataFrame, width: int, similar: int) -> Data
     bands = classes.where("n_shingles > 0").select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))
     centres = bands.groupBy("band", "key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = bands.join(scratch.table(centres.drop("n"), "centres"), ["band", "key"]).where("id <> centre").select("centre", "id").distinct()
-    near = scratch.table(near, "candidates")
-    count = near.groupBy("centre").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE))
-    count = scratch.table(count, "tiles")
-    dealt = near.join(count, "centre").select("centre", "id", F.pmod(F.xxhash64("id", "centre"), F.col("tiles")).alias("tile"), "tiles")
-    heads = count.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "tiles")
-    dealt = scratch.table(dealt.unionByName(heads), "dealt")
-    wanted = dealt.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch.table(sets_of(docs.join(wanted, "doc_id", "left_semi"), width).withColumnRenamed("doc_id", "id"), "sets")
-    rows = dealt.join(sets, "id").select("centre", "tile", "id", "shingles", F.lit(False).alias("probe"))
-    found = scratch.table(_verify(rows, similar, "centre"), "links")
-    left = found.where("open").select(F.col("a").alias("centre"), F.col("b").alias("id"))
-    left = left.join(count.where("tiles > 1"), "centre").select("centre", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
-    left = scratch.table(left, "open")
-    reached = left.select("centre").distinct()
-    others = dealt.where("tiles > 1").join(reached, "centre", "left_semi").select("centre", "tile", "id", F.lit(False).alias("probe"))
-    again = left.select("centre", "tile", "id", F.lit(True).alias("probe")).unionByName(others)
-    again = scratch.table(again, "again").join(sets, "id").select("centre", "tile", "id", "shingles", "probe")
-    return found.where("not open").select("a", "b").unionByName(_verify(again, similar, "open").select("a", "b"))
+
+    def payloads(ids: DataFrame) -> DataFrame:
+        return sets_of(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), width).toDF("id", "payload")
+
+    return tiles.links(scratch.table(near, "candidates"), payloads, set_tester(similar))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, similar: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, mixing, near_dedup, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, lines, mixing, near_dedup, quality, secrets, sharding, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.fuzzy_lines(read(spark, sf_dir, "documents")).drop("h")
+
+
 def op6_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(read(spark, sf_dir, "conversations"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
         op2_secrets_cnn,
         op3_mix_sources,
         op4_toxicity,
+        op5_fuzzy_lines,
         op6_chat_role_repair,
         op7_shard_vector_packing,
         op8_exact_dedup,

@@ -70,20 +70,37 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return mix64(hashed), np.searchsorted(starts, offsets)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of byte ranges; starts, ends and text of each run of bytes that ``table`` marks."""
+def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A hash of byte ranges, given by their starts and ends."""
     if not len(data):
-        none = np.zeros(0, np.int64)
-        return lambda a, b: np.zeros(len(a), np.uint64), none, none, none
-    starts, ends = _word_edges(data, offsets, table)
+        return lambda a, b: np.zeros(len(a), np.uint64)
     up, down = _powers(max(CHUNK, len(data)))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    return lambda a, b: mix64(((sums[b] - sums[a]) * down[np.minimum(a, len(data) - 1)]) ^ ((b - a).astype(np.uint64) << _U(52)))
 
-    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix64(((sums[b] - sums[a]) * down[np.minimum(a, len(data) - 1)]) ^ ((b - a).astype(np.uint64) << _U(52)))
 
-    return hashed, starts, ends, np.searchsorted(offsets, starts, "right") - 1
+def runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of byte ranges; starts, ends and text of each run of bytes that ``table`` marks."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return hasher(data), none, none, none
+    starts, ends = _word_edges(data, offsets, table)
+    return hasher(data), starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
+def common_length(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(x.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    mask = (1 << len(x)) - 1
+    v = mask
+    for w in y.tolist():
+        if m := at.get(w):
+            u = v & m
+            v = (v + u) | (v - u)
+    return len(x) - (v & mask).bit_count()
 
 
 def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
