@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -42,8 +42,13 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
 
 
+def mark() -> Column:
+    """Tells rows that share a doc_id apart by their text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id and the 32-bit hashes of its words."""
+    """doc_id, mark (a hash of the row's doc_id and text) and the 32-bit hashes of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +57,9 @@ def tokens(docs: DataFrame) -> DataFrame:
                 t = (hashed(starts, ends) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 first = np.searchsorted(of, np.arange(b - a + 1))
                 raw = [t[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(raw, pa.binary())], ["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("doc_id", "mark")), pa.array(raw, pa.binary())], ["doc_id", "mark", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, tokens binary")
 
 
 def _flat(raw: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -252,7 +257,7 @@ def confirmed(item: np.ndarray, near: np.ndarray) -> float:
 
 
 def search(rows: DataFrame, index: Index) -> DataFrame:
-    """doc_id, row (number of the written row), items (by commas), share (the best one) of every row."""
+    """doc_id, mark, row (number of the written row), items (by commas), share (the best one) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,9 +274,9 @@ def search(rows: DataFrame, index: Index) -> DataFrame:
                 for r, i in index.exact_short(t, first):
                     found[r][i] = 1.0
                 items = [",".join(map(str, sorted(index.ids[i] for i in x))) for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("row").slice(a, b - a), pa.array(items, pa.string()), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())], ["doc_id", "row", "items", "share"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("doc_id", "mark", "row")), pa.array(items, pa.string()), pa.array([max(x.values(), default=0.0) for x in found], pa.float64())], ["doc_id", "mark", "row", "items", "share"])
 
-    return rows.mapInArrow(run, "doc_id long, row string, items string, share double")
+    return rows.mapInArrow(run, "doc_id long, mark long, row string, items string, share double")
 
 
 def joined(blocks: list[DataFrame]) -> DataFrame:
@@ -280,14 +285,14 @@ def joined(blocks: list[DataFrame]) -> DataFrame:
     for x in blocks[1:]:
         found = found.unionByName(x)
     every = F.array_join(F.transform(F.array_sort(F.transform(F.filter(F.flatten(F.collect_list(F.split("items", ","))), lambda x: x != ""), lambda x: x.cast("long"))), lambda x: x.cast("string")), ",")
-    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), every.alias("items"), F.max("share").alias("share"))
+    return found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("mark").alias("mark"), every.alias("items"), F.max("share").alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Which documents contain items of the benchmark, also with some of the words changed.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns one row per row of docs:
-    doc_id, contaminated, items (identifiers by commas, in order), share (of the item found best, 0 to 1).
+    doc_id, mark (see there), contaminated, items (identifiers by commas, in order), share (of the item found best, 0 to 1).
     Null and empty texts contain nothing; items without words or identifier are not sought. Rows that repeat a
     doc_id are judged by their own text. An empty benchmark leaves everything clean.
     The benchmark is the query set: it is taken in blocks of ``ITEMS`` items, each compared with all rows.
@@ -309,4 +314,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = out[0]
     if len(out) > 1:  # every block has every row, by its number in the written table
         found = joined(out)
-    return found.select("doc_id", (F.col("share") > 0).alias("contaminated"), "items", "share")
+    return found.select("doc_id", "mark", (F.col("share") > 0).alias("contaminated"), "items", "share")

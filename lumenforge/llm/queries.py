@@ -46,7 +46,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate_lsa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("mark")
 
 
 def op10_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -25,12 +26,12 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str, codec: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+def table(df: DataFrame, name: str, codec: str = "snappy", options: dict[str, str] | None = None, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again. keep: only ``clear()`` of all tables deletes it."""
     spark = df.sparkSession
     path = f"{folder(spark)}/lumenforge/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).option("compression", codec).parquet(path)
-    _MADE.append((spark, path))
+    (_KEPT if keep else _MADE).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,10 +41,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def clear() -> None:
-    """Delete every table made so far. Call it once no lazy result still reads them."""
-    while _MADE:
-        spark, path = _MADE.pop()
+def made() -> int:
+    """How many tables there are, for ``clear``."""
+    return len(_MADE)
+
+
+def clear(since: int | None = None) -> None:
+    """Delete every table made, or those made since then. Call it once no lazy result still reads them."""
+    old = _MADE[since or 0 :] + (_KEPT if since is None else [])
+    del _MADE[since or 0 :]
+    if since is None:
+        _KEPT.clear()
+    for spark, path in old:
         if spark.sparkContext._jsc is not None:
             _delete(spark, path)
 

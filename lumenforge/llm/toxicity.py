@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import scratch
 from .common import unit
@@ -217,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
     return {"terms": terms, "lexicon": lexicon, "w": w, "cut": best_cut(x @ w, (label == 1).astype(int))}
 
 
-def score(docs: DataFrame, model: dict, by: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns ``by`` of every row."""
+def score(docs: DataFrame, model: dict, by: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """doc_id, the columns ``by`` and the score, called ``name``, of every row."""
     terms, lexicon, w, cut = model["terms"], model["lexicon"], model["w"], model["cut"]
     names = ["doc_id", *by]
 
@@ -227,11 +228,10 @@ def score(docs: DataFrame, model: dict, by: tuple[str, ...] = ()) -> DataFrame:
             for a, b, found, other in counts(batch.column("text"), terms, lexicon):
                 odds = features(found, other) @ w - cut + np.log(CUT / (1 - CUT))
                 s = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in names), pa.array(s)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in names), pa.array(s)], [*names, name])
 
     rows = docs.select("doc_id", "text", *(x for x in by if x != "text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return rows.mapInArrow(run, schema + ", score double")
+    return rows.mapInArrow(run, StructType([*docs.select(*names).schema, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
