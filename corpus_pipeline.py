@@ -1,10 +1,78 @@
-"""From raw documents to balanced shards of a mixed, clean corpus."""
+"""From raw documents to balanced shards of a mixed, clean corpus.
+
+Each stage takes documents with any further columns, and all but the last return just those columns.
+Repeated rows and null doc_ids are kept or dropped as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenforge.llm import decontaminate, mixing, near_dedup, scratch, sharding, toxicity
+from lumenforge.llm.common import read
+from lumenforge.shipping import ship
+
 ORACLE_SQL = None
+ROW, SCORE = "_lumenforge_row", "_lumenforge_score"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.7 stay."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, tuple(x for x in docs.columns if x != "doc_id"), SCORE)
+    return scored.where(F.col(SCORE) < toxicity.CUT).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles, the one of least doc_id stays; of rows equal in doc_id and text, one."""
+    ship(spark)
+    found = near_dedup.near_dedup(docs).where("not kept").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    twice = scratch.table(twice, "repeated")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark stay."""
+    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
+    found = scratch.table(found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (decontaminate.mark() == F.col("_mark")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias(ROW))
+    taken = mixing.mix(rows, by=(ROW,)).where("copies > 0")
+    return taken.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(f"{ROW}.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with law, shard and slot; columns of these names in docs give way."""
+    new = ["law", "shard", "slot", "size", "text_crc32"]
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{x}`") for x in docs.columns if x not in new)).alias(ROW))
+    return sharding.shard(rows, by=(ROW,)).select(f"{ROW}.*", *new)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what each returns is written in the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        before = scratch.made()
+        kept = scratch.table(stage(spark, docs, sf_dir), name, "zstd", keep=True)
+        scratch.clear(before)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
