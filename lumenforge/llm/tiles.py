@@ -2,8 +2,8 @@
 
 The members of a group are dealt to tiles. A tile holds the group's least member, its centre, as well.
 It tests the centre, and then every member that the centre doesn't link, against the other members, and gives
-the links that join what is still apart. Members that stay open are then sent to the other
-tiles of their group. So all pairs of a group are tested but those already joined by way of the
+the links that join what is still apart. Members that stay open are then sent to all
+tiles of their group, and tested against those that live there. So all pairs of a group are tested but those already joined by way of the
 centre; no pairs are written out, and no task holds more than a tile.
 """
 
@@ -23,16 +23,16 @@ TILE = 192
 Tester = Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]
 
 
-def tile_links(n: int, near: Callable[[int, np.ndarray], np.ndarray], probe: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+def tile_links(n: int, near: Callable[[int, np.ndarray], np.ndarray], probe: np.ndarray, against: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links (positions) that join all that is linked to a probing member, and each member's component.
 
-    ``probe``: positions to test against all others, in order; links within what is already
-    one component are left out, as they would join nothing new.
+    ``probe``: positions to test, in order; ``against``: which positions to test them against. Links within what is
+    already one component are left out, as they would join nothing new.
     """
     parent = np.arange(n)
     links = []
     for p in probe.tolist():
-        for q in near(p, parent != parent[p]).tolist():
+        for q in near(p, against & (parent != parent[p])).tolist():
             if parent[q] != parent[p]:
                 links.append((p, q))
                 parent[parent == parent[q]] = parent[p]
@@ -45,15 +45,16 @@ def _verify(rows: DataFrame, tester: Tester, probing: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["id", "payload", "probe"]).sort_values(["probe", "id"], ascending=[False, True], kind="stable")
         ids, centre = pdf["id"].to_numpy(), int(pdf["centre"].iloc[0])
-        near = tester(list(pdf["payload"]))
+        near, every = tester(list(pdf["payload"])), np.ones(len(ids), dtype=bool)
         if probing == "centre":
             first = np.flatnonzero(ids == centre)[:1]
-            links, parent = tile_links(len(ids), near, first)
+            links, parent = tile_links(len(ids), near, first, every)
             apart = np.flatnonzero(parent != parent[first[0]])
-            more, _ = tile_links(len(ids), near, apart)
+            more, _ = tile_links(len(ids), near, apart, every)
             out = [(int(ids[p]), int(ids[q]), False) for p, q in links + more] + [(centre, int(ids[p]), True) for p in apart]
         else:
-            links, _ = tile_links(len(ids), near, np.flatnonzero(pdf["probe"].to_numpy()))
+            probe = pdf["probe"].to_numpy()
+            links, _ = tile_links(len(ids), near, np.flatnonzero(probe), ~probe)  # other probes are members of other tiles
             out = [(int(ids[p]), int(ids[q]), False) for p, q in links]
         return pd.DataFrame(out, columns=["a", "b", "open"]).astype({"a": "int64", "b": "int64", "open": "bool"})
 
