@@ -6,7 +6,7 @@ other fields are null where there is one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,15 @@ def _col(x: Number) -> Column:
     return x if isinstance(x, Column) else F.lit(x).cast("long")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: plans nest deeply, and a repeated operand would double at each level."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def let_all(f: Callable[[Column], Column], **values: Column) -> Column:
+    return let(F.struct(*(v.alias(k) for k, v in values.items())), f)
+
+
 def _or(*xs: Column | None) -> Column:
     return F.coalesce(*(x for x in xs if x is not None))
 
@@ -49,19 +58,28 @@ def smart_resize(h: Column, w: Column, factor: Number = FACTOR, lo: Column | Non
     """Sides that are multiples of factor, within a budget of pixels, at about the same aspect ratio: height, width, error."""
     f = _col(factor)
     lo, hi = _or(lo, f * f * MIN_CELLS), _or(hi, f * f * MAX_CELLS)
-    hb, wb = F.greatest(f, round_by_factor(h, f)), F.greatest(f, round_by_factor(w, f))
-    area = h.cast("double") * w.cast("double")
-    shrink, grow = F.sqrt(area / hi.cast("double")), F.sqrt(lo.cast("double") / area)
 
-    def fitted(side: Column, rounded: Column) -> Column:
-        small = F.floor(side / shrink / f.cast("double")).cast("long") * f
-        large = F.ceil(side * grow / f.cast("double")).cast("long") * f
-        return F.when(hb * wb > hi, small).when(hb * wb < lo, large).otherwise(rounded)
+    def rounded(v: Column) -> Column:
+        more = {k: v[k] for k in ("h", "w", "lo", "hi")}
+        return let_all(fitted, **more, hb=F.greatest(f, round_by_factor(v["h"], f)), wb=F.greatest(f, round_by_factor(v["w"], f)))
+
+    def fitted(v: Column) -> Column:
+        area, most, least = v["h"].cast("double") * v["w"].cast("double"), v["hi"].cast("double"), v["lo"].cast("double")
+        cells = f.cast("double")
+
+        def side(x: Column, b: Column) -> Column:
+            small = F.floor(x / F.sqrt(area / most) / cells).cast("long") * f
+            large = F.ceil(x * F.sqrt(least / area) / cells).cast("long") * f
+            return F.when(v["hb"] * v["wb"] > v["hi"], small).when(v["hb"] * v["wb"] < v["lo"], large).otherwise(b)
+
+        wrong = (v["hi"] < v["lo"]) | (v["hi"] <= 0) | bad_shape(v["h"], v["w"])
+        return let_all(checked, height=side(v["h"], v["hb"]), width=side(v["w"], v["wb"]), wrong=wrong)
 
-    error = F.when((hi < lo) | (hi <= 0) | bad_shape(h, w), "media_geometry")
-    height, width = fitted(h, hb), fitted(w, wb)
-    ok = error.isNull() & (height > 0) & (width > 0)
-    return F.struct(F.when(ok, height).alias("height"), F.when(ok, width).alias("width"), F.when(~ok, F.lit("media_geometry")).alias("error"))
+    def checked(v: Column) -> Column:
+        ok = ~v["wrong"] & (v["height"] > 0) & (v["width"] > 0)
+        return F.struct(F.when(ok, v["height"]).alias("height"), F.when(ok, v["width"]).alias("width"), F.when(~F.coalesce(ok, F.lit(False)), F.lit("media_geometry")).alias("error"))
+
+    return let_all(rounded, h=h.cast("long"), w=w.cast("long"), lo=lo.cast("long"), hi=hi.cast("long"))
 
 
 def explicit_error(rh: Column, rw: Column) -> Column:
@@ -84,49 +102,51 @@ def image_resource_error(h: Column, w: Column, lo: Column, hi: Column, rh: Colum
     )
 
 
-def grid_plan(size: Column, error: Column, grid_t: Number = 1, frames: Number = 1) -> Column:
-    """Grid, patches, placeholders and bytes of a prepared size (a struct of height, width)."""
-    h, w, t = size["height"], size["width"], _col(grid_t)
-    rows = F.floor(h / PATCH).cast("long") * F.floor(w / PATCH).cast("long") * t
-    fields = {
-        "height": h,
-        "width": w,
-        "grid_t": t,
-        "grid_h": F.floor(h / PATCH).cast("long"),
-        "grid_w": F.floor(w / PATCH).cast("long"),
-        "patch_rows": rows,
-        "placeholder_count": F.floor(rows / (MERGE * MERGE)).cast("long"),
-        "rgb_bytes": h * w * 3 * _col(frames),
-        "pixel_values_bytes": rows * (4 * PATCH_WIDTH),
-    }
+def grid_plan(h: Column, w: Column, t: Column, frames: Column, error: Column) -> Column:
+    """Grid, patches, placeholders and bytes of a prepared size."""
+    gh, gw = F.floor(h / PATCH).cast("long"), F.floor(w / PATCH).cast("long")
+    rows = gh * gw * t
+    fields = {"height": h, "width": w, "grid_t": t, "grid_h": gh, "grid_w": gw, "patch_rows": rows, "placeholder_count": F.floor(rows / (MERGE * MERGE)).cast("long"), "rgb_bytes": h * w * 3 * frames, "pixel_values_bytes": rows * (4 * PATCH_WIDTH)}
     return F.struct(*(F.when(error.isNull(), v).alias(k) for k, v in fields.items()), error.alias("error"))
 
 
 def image_plan(h: Column, w: Column, lo: Column | None = None, hi: Column | None = None, rh: Column | None = None, rw: Column | None = None, limits: dict[str, int] = LIMITS) -> Column:
     """Plan of one image. An explicit size is resized under the default budgets; item budgets are then only checked."""
-    none = F.lit(None).cast("long")
-    lo, hi, rh, rw = (none if x is None else x for x in (lo, hi, rh, rw))
-    explicit = rh.isNotNull() & rw.isNotNull()
-    given, found = smart_resize(rh, rw), smart_resize(h, w, FACTOR, F.coalesce(lo, F.lit(IMAGE_MIN)), F.coalesce(hi, F.lit(IMAGE_MAX)))
-    size = F.when(explicit, given).otherwise(found)
-    large = size["height"] * size["width"] > limits["prepared_image_pixels_per_occurrence"]
-    error = F.coalesce(
-        image_resource_error(h, w, lo, hi, rh, rw, limits),
-        F.when(bad_shape(h, w) | (hi < lo), "media_geometry"),
-        explicit_error(rh, rw),
-        size["error"],
-        F.when(large, "resource_limit"),
-    )
-    return grid_plan(size, error)
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+
+    def sized(v: Column) -> Column:
+        explicit = v["rh"].isNotNull() & v["rw"].isNotNull()
+        pick = [F.when(explicit, a).otherwise(b) for a, b in ((v["rh"], v["h"]), (v["rw"], v["w"]), (none, F.coalesce(v["lo"], F.lit(IMAGE_MIN))), (none, F.coalesce(v["hi"], F.lit(IMAGE_MAX))))]
+        return let_all(judged, v=v, size=smart_resize(pick[0], pick[1], FACTOR, pick[2], pick[3]))
+
+    def judged(x: Column) -> Column:
+        v, size = x["v"], x["size"]
+        large = size["height"] * size["width"] > limits["prepared_image_pixels_per_occurrence"]
+        error = F.coalesce(
+            image_resource_error(*(v[k] for k in ("h", "w", "lo", "hi", "rh", "rw")), limits),
+            F.when(bad_shape(v["h"], v["w"]) | (v["hi"] < v["lo"]), "media_geometry"),
+            explicit_error(v["rh"], v["rw"]),
+            size["error"],
+            F.when(large, "resource_limit"),
+        )
+        return let_all(lambda y: grid_plan(y["h"], y["w"], one, one, y["error"]), h=size["height"], w=size["width"], error=error)
+
+    given = {"h": h, "w": w, "lo": lo, "hi": hi, "rh": rh, "rw": rw}
+    return let_all(sized, **{k: none if x is None else x.cast("long") for k, x in given.items()})
 
 
 def video_budget(frames: Column, lo: Column, hi: Column | None = None, total: Column | None = None, factor: int = FACTOR) -> Column:
     """The most pixels a frame may have: a share of the clip's total, not under the minimum and a bit, not over ``hi``. Null if the budgets contradict."""
     cell = float(factor * factor)
-    whole = _or(None if total is None else total.cast("double"), F.lit(VIDEO_TOTAL_CELLS * cell * 0.9))
-    share = F.greatest(F.least(F.lit(VIDEO_MAX_CELLS * cell), whole / frames * 2), F.floor(lo * 1.05).cast("double"))
-    most = share if hi is None else F.least(F.coalesce(hi.cast("double"), share), share)
-    return F.when((lo > 0) & (F.coalesce(hi, F.lit(1)) > 0 if hi is not None else F.lit(True)) & (F.coalesce(total, F.lit(1)) > 0 if total is not None else F.lit(True)) & (most >= lo), most.cast("long"))
+    none = F.lit(None).cast("long")
+
+    def bounded(v: Column) -> Column:
+        whole = F.coalesce(v["total"].cast("double"), F.lit(VIDEO_TOTAL_CELLS * cell * 0.9))
+        share = F.greatest(F.least(F.lit(VIDEO_MAX_CELLS * cell), whole / v["frames"] * 2), F.floor(v["lo"] * 1.05).cast("double"))
+        positive = (v["lo"] > 0) & (F.coalesce(v["hi"], F.lit(1)) > 0) & (F.coalesce(v["total"], F.lit(1)) > 0)
+        return let_all(lambda x: F.when(x["ok"] & (x["most"] >= x["lo"]), x["most"].cast("long")), ok=positive, lo=v["lo"], most=F.least(v["hi"].cast("double"), share))
+
+    return let_all(bounded, frames=frames.cast("double"), lo=lo, hi=none if hi is None else hi.cast("long"), total=none if total is None else total.cast("long"))
 
 
 def padded(frames: Column) -> Column:
@@ -141,29 +161,43 @@ def video_plan(h: Column, w: Column, frames: Column, lo: Column | None = None, h
     the clip's pixels. Preprocessed frames keep their size, which must then fit the factor.
     """
     none, no = F.lit(None).cast("long"), F.lit(False)
-    lo, hi, rh, rw = (none if x is None else x for x in (lo, hi, rh, rw))
-    listed, ready = (no if x is None else F.coalesce(x, no) for x in (image_frames, preprocessed))
-    cell = FACTOR * FACTOR
-    least = F.coalesce(lo, F.lit(VIDEO_MIN_CELLS * cell).cast("long"))
-    explicit = rh.isNotNull() & rw.isNotNull()
-    twice = 2 * FACTOR
-    first = F.when(explicit, smart_resize(rh, rw, twice)).otherwise(smart_resize(h, w, twice, lo, hi))
-    lists = listed & ~ready
-    sh, sw = F.when(lists, first["height"]).otherwise(h), F.when(lists, first["width"]).otherwise(w)
-    most = video_budget(F.when(listed, padded(frames)).otherwise(frames).cast("double"), least, hi, total)
-    same = F.struct(sh.alias("height"), sw.alias("width"), F.when((sh % FACTOR != 0) | (sw % FACTOR != 0), "media_geometry").alias("error"))
-    size = F.when(ready, same).when(explicit, smart_resize(rh, rw)).otherwise(smart_resize(sh, sw, FACTOR, least, most))
-    edge = limits["decoded_edge_length"]
-    error = F.coalesce(
-        F.when(frames < 1, "media_geometry").when(frames > limits["raw_frames_per_video"], "resource_limit"),
-        F.when(h * w > limits["decoded_pixels_per_image_or_frame"], "resource_limit").when((h > edge) | (w > edge), "resource_limit"),
-        F.when(bad_shape(h, w), "media_geometry"),
-        F.when(lists, first["error"]),
-        F.when(~ready & most.isNull(), "media_geometry"),
-        explicit_error(rh, rw),
-        size["error"],
-    )
-    return grid_plan(size, error, F.floor(padded(frames) / TEMPORAL).cast("long"), frames)
+    twice, edge = 2 * FACTOR, limits["decoded_edge_length"]
+
+    def listed_first(v: Column) -> Column:
+        """Lists of images are first resized one by one."""
+        explicit = v["rh"].isNotNull() & v["rw"].isNotNull()
+        lists = v["listed"] & ~v["ready"]
+        pick = [F.when(explicit, a).otherwise(b) for a, b in ((v["rh"], v["h"]), (v["rw"], v["w"]), (none, v["lo"]), (none, v["hi"]))]
+        first = smart_resize(pick[0], pick[1], twice, pick[2], pick[3])
+        least = F.coalesce(v["lo"], F.lit(VIDEO_MIN_CELLS * FACTOR * FACTOR).cast("long"))
+        most = video_budget(F.when(v["listed"], padded(v["frames"])).otherwise(v["frames"]), least, v["hi"], v["total"])
+        return let_all(resized, v=v, explicit=explicit, lists=lists, first=first, least=least, most=most)
+
+    def resized(x: Column) -> Column:
+        v = x["v"]
+        sh, sw = (F.when(x["lists"], x["first"][n]).otherwise(v[k]) for n, k in (("height", "h"), ("width", "w")))
+        pick = [F.when(x["explicit"], a).otherwise(b) for a, b in ((v["rh"], sh), (v["rw"], sw), (none, x["least"]), (none, x["most"]))]
+        return let_all(judged, x=x, sh=sh, sw=sw, size=smart_resize(pick[0], pick[1], FACTOR, pick[2], pick[3]))
+
+    def judged(y: Column) -> Column:
+        x, v = y["x"], y["x"]["v"]
+        ready, size = v["ready"], y["size"]
+        error = F.coalesce(
+            F.when(v["frames"] < 1, "media_geometry").when(v["frames"] > limits["raw_frames_per_video"], "resource_limit"),
+            F.when(v["h"] * v["w"] > limits["decoded_pixels_per_image_or_frame"], "resource_limit").when((v["h"] > edge) | (v["w"] > edge), "resource_limit"),
+            F.when(bad_shape(v["h"], v["w"]), "media_geometry"),
+            F.when(x["lists"], x["first"]["error"]),
+            F.when(~ready & x["most"].isNull(), "media_geometry"),
+            explicit_error(v["rh"], v["rw"]),
+            F.when(ready & ((y["sh"] % FACTOR != 0) | (y["sw"] % FACTOR != 0)), "media_geometry"),
+            F.when(~ready, size["error"]),
+        )
+        h, w = (F.when(ready, y[k]).otherwise(size[n]) for k, n in (("sh", "height"), ("sw", "width")))
+        return let_all(lambda z: grid_plan(z["h"], z["w"], z["t"], z["frames"], z["error"]), h=h, w=w, t=F.floor(padded(v["frames"]) / TEMPORAL).cast("long"), frames=v["frames"], error=error)
+
+    given = {"h": h, "w": w, "frames": frames, "lo": lo, "hi": hi, "rh": rh, "rw": rw, "total": total}
+    flags = {"listed": image_frames, "ready": preprocessed}
+    return let_all(listed_first, **{k: none if x is None else x.cast("long") for k, x in given.items()}, **{k: no if x is None else F.coalesce(x, no) for k, x in flags.items()})
 
 
 def clip_range(total: Column, fps: Column, start_s: Column | None = None, end_s: Column | None = None) -> Column:
@@ -227,28 +261,43 @@ def video_metadata(frames: Column, fps: Column, sample_fps: Column | None = None
     Padding repeats the last frame, but in lists of images without numbers or times of their own it counts on.
     """
     nums, secs = F.lit(None).cast("array<long>"), F.lit(None).cast("array<double>")
-    nums, secs = nums if indices is None else indices, secs if times is None else times
     listed = F.lit(False) if image_frames is None else F.coalesce(image_frames, F.lit(False))
     rate = _or(sample_fps, F.lit(2.0))
-    used = _or(raw_fps, fps, rate)
-    bad_rate = [x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf")) for x in (rate, used)]
-    base = F.coalesce(nums, F.sequence(F.lit(0).cast("long"), frames.cast("long") - 1))
-    at = F.coalesce(secs, F.transform(base, lambda i: i.cast("double") / used))
-    odd = padded(frames) > frames
-    count_on = listed & nums.isNull() & secs.isNull()
-    last, last_s = F.element_at(base, -1), F.element_at(at, -1)
-    more = F.when(count_on, last + 1).otherwise(last)
-    more_s = F.when(count_on, more.cast("double") / used).otherwise(last_s)
-    all_n = F.when(odd, F.concat(base, F.array(more))).otherwise(base)
-    all_s = F.when(odd, F.concat(at, F.array(more_s))).otherwise(at)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_s) / 2).cast("int") - 1), lambda k: (F.get(all_s, 2 * k) + F.get(all_s, 2 * k + 1)) / 2)
-    counted = F.when(listed, padded(frames)).otherwise(frames).cast("double")
-    whole = _or(total, counted / rate * used)
-    ordered = (F.size(base) == frames) & (base == F.array_sort(base)) & (F.array_min(base) >= 0)
-    timed = (F.size(at) == frames) & (at == F.array_sort(at)) & (F.array_min(at) >= 0) & ~F.isnan(F.array_max(at)) & (F.array_max(at) < float("inf"))
-    error = F.when((frames < 1) | bad_rate[0] | bad_rate[1] | ~ordered | ~timed | F.isnan(whole) | (whole <= 0) | (whole == float("inf")), "media_geometry")
-    fields = {"fps": used, "sample_fps": rate, "frames_indices": all_n, "timestamps": pairs, "total_num_frames": whole}
-    return F.struct(*(F.when(error.isNull(), v).alias(k) for k, v in fields.items()), error.alias("error"))
+
+    def timed(v: Column) -> Column:
+        base = F.coalesce(v["nums"], F.sequence(F.lit(0).cast("long"), v["n"] - 1))
+        return let_all(filled, v=v, base=base, at=F.coalesce(v["secs"], F.transform(base, lambda i: i.cast("double") / v["fps"])))
+
+    def filled(x: Column) -> Column:
+        v, base, at = x["v"], x["base"], x["at"]
+        odd = padded(v["n"]) > v["n"]
+        count_on = v["listed"] & v["nums"].isNull() & v["secs"].isNull()
+        last = F.element_at(base, -1)
+        more = F.when(count_on, last + 1).otherwise(last)
+        more_s = F.when(count_on, more.cast("double") / v["fps"]).otherwise(F.element_at(at, -1))
+        all_n = F.when(odd, F.concat(base, F.array(more))).otherwise(base)
+        all_s = F.when(odd, F.concat(at, F.array(more_s))).otherwise(at)
+        counted = F.when(v["listed"], padded(v["n"])).otherwise(v["n"]).cast("double")
+        return let_all(told, x=x, all_n=all_n, all_s=all_s, whole=F.coalesce(v["total"], counted / v["rate"] * v["fps"]))
+
+    def told(y: Column) -> Column:
+        x, v, all_s = y["x"], y["x"]["v"], y["all_s"]
+
+        def wild(c: Column) -> Column:
+            return c.isNull() | F.isnan(c) | (c <= 0) | (c == float("inf"))
+
+        def in_order(a: Column) -> Column:
+            return (F.size(a) == v["n"]) & (a == F.array_sort(a)) & (F.array_min(a) >= 0)
+
+        late = F.array_max(x["at"])
+        bad = (v["n"] < 1) | wild(v["rate"]) | wild(v["fps"]) | wild(y["whole"]) | ~in_order(x["base"]) | ~in_order(x["at"]) | F.isnan(late) | (late == float("inf"))
+        error = F.when(F.coalesce(bad, F.lit(True)), "media_geometry")
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(all_s) / 2).cast("int") - 1), lambda k: (F.get(all_s, 2 * k) + F.get(all_s, 2 * k + 1)) / 2)
+        fields = {"fps": v["fps"], "sample_fps": v["rate"], "frames_indices": y["all_n"], "timestamps": pairs, "total_num_frames": y["whole"]}
+        return F.struct(*(F.when(error.isNull(), c).alias(k) for k, c in fields.items()), error.alias("error"))
+
+    n = F.greatest(frames.cast("long"), F.lit(1).cast("long"))
+    return let_all(timed, n=n, rate=rate.cast("double"), fps=_or(raw_fps, fps, rate).cast("double"), listed=listed, nums=nums if indices is None else indices, secs=secs if times is None else times, total=F.lit(None).cast("double") if total is None else total)
 
 
 def placeholder_count(t: Column, h: Column, w: Column, merge: int = MERGE) -> Column:
@@ -260,7 +309,7 @@ def checked_product(values: Column) -> Column:
 
     def times(a: Column, b: Column) -> Column:
         both = F.try_multiply(a, b.cast("decimal(20,0)")).cast("decimal(38,0)")
-        return F.when(both <= F.lit(U64).cast("decimal(38,0)"), both)
+        return F.when(both <= F.lit(str(U64)).cast("decimal(38,0)"), both)
 
     return F.aggregate(values, F.lit(1).cast("decimal(38,0)"), times)
 
