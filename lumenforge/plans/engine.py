@@ -1,7 +1,8 @@
 """The engine: a batch of requests to model inputs, as relations.
 
-``plan`` is lazy and holds no pixels; ``images``, ``videos`` and ``patches`` decode only what has passed all checks.
-Requests are spread by batch once; every window and grouped aggregate after that uses the same partitioning.
+Checks, prompts and plans are made row by row, beside the bytes of the media, and written without them in the
+session's shared folder. Offsets, errors, padding and layouts shuffle those narrow tables only. Pixels are made row by
+row again, of batches that have no error: the bytes of pictures and frames are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lumenforge import scratch
 from lumenforge.functions import chat, geometry, media
 from lumenforge.functions.text import fmt_1dp_each
 from lumenforge.functions.tokens import tokenizer
@@ -39,7 +41,7 @@ def probe_image(data: pd.Series, declared: pd.Series) -> pd.DataFrame:
 
 @dataclass
 class Prepared:
-    """Lazy relations of a prepared input; ``errors`` has one row for each failed batch, and nothing else has rows of those."""
+    """Relations of a prepared input; ``errors`` has one row for each failed batch, and no other result has rows of those."""
 
     engine: Engine
     requests: DataFrame
@@ -47,10 +49,9 @@ class Prepared:
 
     @cached_property
     def checked(self) -> DataFrame:
-        """Requests with the errors and counts of their own columns, spread by batch."""
-        rows = self.requests.repartition("batch_id")
+        """Requests with their prompt, and the error and counts of their own columns. No shuffle."""
         made, m, o = F.col("_made"), F.col("messages"), F.col("options")
-        rows = rows.withColumn("_made", chat.json_parts(F.coalesce(m, F.array().cast(f"array<{schema.MESSAGE}>")), o))
+        rows = self.requests.withColumn("_made", chat.json_parts(F.coalesce(m, F.array().cast(f"array<{schema.MESSAGE}>")), o))
         rows = rows.withColumn("_counts", validate.counts(m, F.col("images"), F.col("videos"), o))
         found = validate.first(
             validate.structure_error(m, F.col("images"), F.col("videos"), made),
@@ -58,75 +59,101 @@ class Prepared:
             validate.resource_error(F.col("_counts"), m, F.col("images"), F.col("videos"), self.engine.limits),
         )
         rows = rows.withColumn("error", found)
-        safe = F.when(F.col("error").isNull(), m)
-        rendered = F.when(F.col("error").isNull(), chat.render(F.col("profile"), safe, o, made))
+        rendered = F.when(F.col("error").isNull(), chat.render(F.col("profile"), F.when(F.col("error").isNull(), m), o, made))
         rows = rows.withColumn("rendered", rendered)
         kinds = F.flatten(F.transform(m, lambda x: F.coalesce(F.transform(F.filter(x["content_items"], lambda i: i["type"] != "text"), lambda i: i["type"]), F.array().cast("array<string>"))))
         late = validate.first(
             validate.failure(F.col("error").isNull() & F.col("rendered").isNull(), "request_structure", "invalid_request", "no message asks anything, or a call's arguments are no object"),
             validate.placeholder_error(F.col("rendered"), kinds),
         )
-        return rows.withColumn("error", F.coalesce("error", late))
+        return rows.withColumn("error", F.coalesce("error", late)).drop("_made")
 
     @cached_property
-    def occurrences(self) -> DataFrame:
-        """One row per image or video item of requests without errors: plan, or its error."""
+    def planned_requests(self) -> DataFrame:
+        """``checked`` without messages and media, written."""
+        return scratch.table(self.checked.select("batch_id", "request_index", "profile", "rendered", "error", "_counts.media", "_counts.encoded_bytes"), "requests", "zstd")
+
+    def _located(self) -> DataFrame:
+        """Items of requests without errors beside their input, with its header and size. No shuffle."""
         rows = layout.occurrences(self.checked.where("error is null"), "profile")
         encoded = (F.col("modality") == "image") & (F.col("image.kind") == "encoded")
         declared = media.format_name(F.col("image.format"))
-        rows = rows.withColumn("_probe", probe_image(F.when(encoded, F.col("image.data")), F.when(encoded, declared)))
-        h = F.coalesce(F.when(encoded, F.col("_probe.height")), F.when(F.col("modality") == "image", F.col("image.height")), F.get("video.frames", F.lit(0))["height"]).cast("long")
-        w = F.coalesce(F.when(encoded, F.col("_probe.width")), F.when(F.col("modality") == "image", F.col("image.width")), F.get("video.frames", F.lit(0))["width"]).cast("long")
-        rows = rows.withColumn("source_height", h).withColumn("source_width", w)
+        probed = probe_image(F.when(encoded, F.col("image.data")), F.when(encoded, declared))
+        rows = rows.withColumn("_probe", probed).withColumn("_unsupported", encoded & F.col("image.format").isNotNull() & declared.isNull())
+        first = F.get("video.frames", F.lit(0))
+        for side in ("height", "width"):
+            given = F.when(encoded, F.col(f"_probe.{side}")).when(F.col("modality") == "image", F.col(f"image.{side}")).otherwise(first[side])
+            rows = rows.withColumn(f"source_{side}", given.cast("long"))
+        return rows
+
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        """One row per image or video item of requests without errors: its plan, or its error. Written, without bytes."""
+        h, w = F.col("source_height"), F.col("source_width")
+        listed, ready = (F.coalesce(F.col(f"video.{x}"), F.lit(False)) for x in ("image_frames", "preprocessed"))
+        uneven = (F.col("modality") == "video") & (~listed | ready) & F.exists("video.frames", lambda f: (f["height"] != h) | (f["width"] != w))
+        rows = self._located().select(
+            "batch_id", *layout.PLACE, "input_index", "modality", "profile", "item", "source_height", "source_width", "_probe", "_unsupported", uneven.alias("_uneven"),
+            F.size("video.frames").cast("long").alias("_frames"), listed.alias("_listed"), ready.alias("_ready"),
+            *(F.col(f"video.{x}").alias(f"_{x}") for x in ("fps", "frames_indices", "timestamps", "total_num_frames")),
+        )
         i = F.col("item")
         sizes = (i["min_pixels"], i["max_pixels"], i["resized_height"], i["resized_width"])
-        h, w, frames = F.col("source_height"), F.col("source_width"), F.size("video.frames").cast("long")
-        clip = geometry.video_plan(h, w, frames, *sizes, i["total_pixels"], F.col("video.image_frames"), F.col("video.preprocessed"), self.engine.limits)
+        frames = F.col("_frames")
+        clip = geometry.video_plan(h, w, frames, *sizes, i["total_pixels"], F.col("_listed"), F.col("_ready"), self.engine.limits)
         still = geometry.image_plan(h, w, *sizes, self.engine.limits)
         rows = rows.withColumn("plan", F.when(F.col("modality") == "image", still).otherwise(clip))
-        facts = geometry.video_metadata(frames, F.col("video.fps"), i["sample_fps"], i["raw_fps"], F.col("video.frames_indices"), F.col("video.timestamps"), F.col("video.total_num_frames"), F.col("video.image_frames"))
+        facts = geometry.video_metadata(frames, F.col("_fps"), i["sample_fps"], i["raw_fps"], F.col("_frames_indices"), F.col("_timestamps"), F.col("_total_num_frames"), F.col("_listed"))
         rows = rows.withColumn("video_metadata", F.when(F.col("modality") == "video", facts))
-        unsupported = F.when(encoded & F.col("image.format").isNotNull() & declared.isNull(), "unsupported_media")
-        refused = F.when(F.col("_probe.mode").isin("LA", "P", "animated") | F.col("_probe.mode").endswith(";16"), "unsupported_media")
-        limit = F.when(F.col("plan.error").isin("arithmetic_overflow", "resource_limit"), F.col("plan.error"))
-        uneven = F.when((F.col("modality") == "video") & (~F.coalesce("video.image_frames", F.lit(False)) | F.coalesce("video.preprocessed", F.lit(False))) & F.exists("video.frames", lambda f: (f["height"] != h) | (f["width"] != w)), "media_geometry")
-        rows = rows.withColumn("media_error", F.coalesce(unsupported, F.col("_probe.error"), limit, refused, uneven, F.col("plan.error"), F.col("video_metadata.error")))
-        rows = rows.withColumn("image_format", F.col("_probe.format")).withColumn("image_mode", F.col("_probe.mode"))
-        seconds = fmt_1dp_each(F.col("video_metadata.timestamps"))
-        per_frame = F.floor(F.col("plan.grid_h") * F.col("plan.grid_w") / (MERGE * MERGE))
-        text = F.when(F.col("modality") == "image", chat.image_replacement(F.col("plan.placeholder_count"))).otherwise(chat.video_replacement(seconds, per_frame))
-        return rows.withColumn("replacement", F.when(F.col("media_error").isNull(), text)).drop("_probe")
+        rows = scratch.table(rows, "planned", "zstd")
+        mode, limit = F.col("_probe.mode"), F.col("plan.error").isin("arithmetic_overflow", "resource_limit")
+        error = F.coalesce(
+            F.when(F.col("_unsupported"), "unsupported_media"),
+            F.col("_probe.error"),
+            F.when(limit, F.col("plan.error")),
+            F.when(mode.isin("LA", "P", "animated") | mode.endswith(";16"), "unsupported_media"),
+            F.when(F.col("_uneven"), "media_geometry"),
+            F.col("plan.error"),
+            F.col("video_metadata.error"),
+        )
+        flat = [F.col(f"plan.{x}").alias(x) for x in ("height", "width", "grid_t", "grid_h", "grid_w", "patch_rows", "placeholder_count", "pixel_values_bytes")]
+        return rows.select("batch_id", *layout.PLACE, "input_index", "modality", "profile", "source_height", "source_width", F.col("_probe.format").alias("image_format"), mode.alias("image_mode"), *flat, "video_metadata", error.alias("media_error"))
+
+    def _replacement(self) -> Column:
+        seconds = fmt_1dp_each(F.when(F.col("media_error").isNull(), F.col("video_metadata.timestamps")))
+        per_frame = F.floor(F.col("grid_h") * F.col("grid_w") / (MERGE * MERGE))
+        return F.when(F.col("modality") == "image", chat.image_replacement(F.col("placeholder_count"))).otherwise(chat.video_replacement(seconds, per_frame))
 
     @cached_property
     def errors(self) -> DataFrame:
         """The error of each failed batch that is told first."""
-        rows = self.checked.where("error is not null").select("batch_id", "error.stage", "error.category", F.lit(None).cast("long").alias("occurrence_index"), "error.message")
-        order = layout.offsets(self.occurrences.withColumn("patch_rows", F.lit(0)))
+        rows = self.planned_requests.where("error is not null").select("batch_id", "error.stage", "error.category", F.lit(None).cast("long").alias("occurrence_index"), "error.message")
+        order = layout.offsets(self.occurrences)
         late = order.where("media_error is not null").select("batch_id", F.lit(errors.STAGES.index("geometry")).alias("stage"), F.col("media_error").alias("category"), F.col("occurrence_index").cast("long"), F.lit("media").alias("message"))
-        sums = self.checked.select("batch_id", "_counts.media", "_counts.encoded_bytes")
-        every = rows.unionByName(late).unionByName(layout.batch_errors(sums, self.engine.limits))
+        every = rows.unionByName(late).unionByName(layout.batch_errors(self.planned_requests, self.engine.limits))
         if self.engine.tokenize is not None:
             spent = self.tokens.select("batch_id", F.size("token_ids").alias("token_count"), "media_bytes")
             every = every.unionByName(layout.token_errors(spent, self.engine.limits))
             wrong = self.tokens.where("token_error is not null").select("batch_id", F.lit(errors.STAGES.index("execution_invariant")).alias("stage"), F.col("token_error").alias("category"), F.lit(None).cast("long").alias("occurrence_index"), F.lit("tokens").alias("message"))
             every = every.unionByName(wrong)
-        return layout.first_error(every)
+        return scratch.table(layout.first_error(every), "errors")
 
     @cached_property
     def expanded(self) -> DataFrame:
         """Prompts before and after expansion, with the ranges of every replacement."""
-        media_rows = self.occurrences.groupBy("batch_id", "request_index").agg(
+        made = self.occurrences.where("media_error is null").withColumn("replacement", self._replacement())
+        made = made.groupBy("batch_id", "request_index").agg(
             F.array_sort(F.collect_list(F.struct("message_index", "content_item_index", "replacement"))).alias("_r"),
-            F.sum(F.col("plan.pixel_values_bytes") + 24).alias("media_bytes"),
+            F.sum(F.col("pixel_values_bytes") + 24).alias("media_bytes"),
         )  # a request has at most media_per_request of them
-        rows = self.checked.where("error is null").select("batch_id", "request_index", "profile", "rendered").join(media_rows, ["batch_id", "request_index"], "left")
+        rows = self.planned_requests.where("error is null").select("batch_id", "request_index", "profile", "rendered").join(made, ["batch_id", "request_index"], "left")
         texts = F.coalesce(F.transform("_r", lambda r: r["replacement"]), F.array().cast("array<string>"))
         return rows.select("batch_id", "request_index", "profile", "rendered", chat.expand(F.col("rendered"), texts).alias("expanded"), chat.spans(F.col("rendered"), texts).alias("replacements"), F.coalesce("media_bytes", F.lit(0)).alias("media_bytes"))
 
     @cached_property
     def tokens(self) -> DataFrame:
         rows = self.expanded.withColumn("_t", self.engine.tokenize(F.col("expanded")))
-        return rows.select("*", F.col("_t.ids").alias("token_ids"), F.col("_t.starts").alias("token_starts"), F.col("_t.error").alias("token_error")).drop("_t")
+        return scratch.table(rows, "tokens", "zstd").select("*", F.col("_t.ids").alias("token_ids"), F.col("_t.starts").alias("token_starts"), F.col("_t.error").alias("token_error")).drop("_t")
 
     @cached_property
     def text(self) -> DataFrame:
@@ -138,47 +165,46 @@ class Prepared:
         return layout.pad(rows, ids["pad"], self.padding_side, ids["image_pad"], ids["video_pad"])
 
     @cached_property
-    def media(self) -> DataFrame:
-        """Occurrences of batches without errors, with dense indices and the ranges of their rows."""
-        rows = layout.without_failed(self.occurrences, self.errors)
-        flat = rows.select("*", *(F.col(f"plan.{x}").alias(x) for x in ("height", "width", "grid_t", "grid_h", "grid_w", "patch_rows", "placeholder_count")))
-        return layout.offsets(flat)
-
-    @property
     def sidecar(self) -> DataFrame:
-        """``media`` without pixels and inputs."""
-        return self.media.drop("image", "video", "item", "plan", "replacement", "media_error", "profile")
+        """Occurrences of batches without errors: sizes, video metadata, dense indices and the ranges of their rows."""
+        return layout.offsets(layout.without_failed(self.occurrences, self.errors).drop("media_error", "profile"))
 
     @cached_property
     def layouts(self) -> DataFrame:
-        requests = layout.without_failed(self.checked.select("batch_id", "request_index"), self.errors)
-        return layout.request_ranges(requests, self.media)
+        requests = layout.without_failed(self.planned_requests.select("batch_id", "request_index"), self.errors)
+        return layout.request_ranges(requests, self.sidecar)
 
     @property
     def capacities(self) -> DataFrame:
         if self.engine.tokenize is None:
             raise errors.ProfileMismatchError("capacities need a tokenizer")
-        return layout.capacities(self.text.withColumn("token_count", F.size("input_ids")), self.media)
+        return layout.capacities(self.text.withColumn("token_count", F.size("input_ids")), self.sidecar)
 
     def patches(self) -> DataFrame:
-        """Pixels: batch_id, occurrence_index, modality, cache_key, patches (float32, little end first, 1536 a row), error.
+        """Pixels: batch_id, request_index, message_index, content_item_index, modality, cache_key, patches (float32, little end first, 1536 a row), error.
 
-        One row leaves a task at a time, so a task holds one picture or clip.
+        One row leaves a task at a time, so a task holds one picture or clip. Sizes are planned again beside the bytes.
         """
-        rows = self.media.select("batch_id", "occurrence_index", "modality", "profile", "item", "image", "video", "image_format", "image_mode", "height", "width")
+        i = F.col("item")
+        sizes = (i["min_pixels"], i["max_pixels"], i["resized_height"], i["resized_width"])
+        h, w = F.col("source_height"), F.col("source_width")
+        clip = geometry.video_plan(h, w, F.size("video.frames").cast("long"), *sizes, i["total_pixels"], F.col("video.image_frames"), F.col("video.preprocessed"), self.engine.limits)
+        rows = self._located().withColumn("plan", F.when(F.col("modality") == "image", geometry.image_plan(h, w, *sizes, self.engine.limits)).otherwise(clip))
+        rows = rows.join(self.errors.select("batch_id"), "batch_id", "left_anti")
+        rows = rows.select("batch_id", *layout.PLACE, "modality", "profile", "item", "image", "video", F.col("_probe.format").alias("image_format"), F.col("_probe.mode").alias("image_mode"), "plan.height", "plan.width")
         marks = {k: fingerprint(k) for k in PROFILES}
+        names = ["batch_id", *layout.PLACE, "modality"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    r = batch.slice(i, 1).to_pylist()[0]
-                    key, data, error = prepare_pixels(r, marks[r["profile"]])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["batch_id"]], pa.int64()), pa.array([r["occurrence_index"]], pa.int32()), pa.array([r["modality"]]), pa.array([key], pa.string()), pa.array([data], pa.binary()), pa.array([error], pa.string())],
-                        ["batch_id", "occurrence_index", "modality", "cache_key", "patches", "error"],
-                    )
+                    one = batch.slice(i, 1)
+                    r = one.to_pylist()[0]
+                    made = prepare_pixels(r, marks[r["profile"]])
+                    columns = [pa.array([x], kind) for x, kind in zip(made, (pa.string(), pa.binary(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(one.column(x) for x in names), *columns], [*names, "cache_key", "patches", "error"])
 
-        return rows.mapInArrow(run, "batch_id long, occurrence_index int, modality string, cache_key string, patches binary, error string")
+        return rows.mapInArrow(run, "batch_id long, request_index int, message_index int, content_item_index int, modality string, cache_key string, patches binary, error string")
 
     def raise_first(self) -> Prepared:
         """Raises the error of the first failed batch, if any."""
@@ -200,12 +226,12 @@ class Prepared:
         text = self.text.where(F.col("batch_id") == batch_id).orderBy("request_index")
         for name in ("input_ids", "attention_mask", "mm_token_type_ids"):
             out[name] = np.array([r[0] for r in text.select(name).collect()], dtype=np.int64)
-        rows = self.media.where(F.col("batch_id") == batch_id).orderBy("occurrence_index").select("occurrence_index", "modality", "grid_t", "grid_h", "grid_w").collect()
-        pixels = {r["occurrence_index"]: bytes(r["patches"]) for r in self.patches().where(F.col("batch_id") == batch_id).where("error is null").collect()}
+        rows = self.sidecar.where(F.col("batch_id") == batch_id).orderBy("occurrence_index").select(*layout.PLACE, "modality", "grid_t", "grid_h", "grid_w").collect()
+        pixels = {tuple(r[x] for x in layout.PLACE): bytes(r["patches"]) for r in self.patches().where(F.col("batch_id") == batch_id).where("error is null").collect()}
         for kind, values, grid in (("image", "pixel_values", "image_grid_thw"), ("video", "pixel_values_videos", "video_grid_thw")):
             some = [r for r in rows if r["modality"] == kind]
             if some:
-                out[values] = np.concatenate([np.frombuffer(pixels[r["occurrence_index"]], np.float32).reshape(-1, 1536) for r in some])
+                out[values] = np.concatenate([np.frombuffer(pixels[tuple(r[x] for x in layout.PLACE)], np.float32).reshape(-1, 1536) for r in some])
                 out[grid] = np.array([[r["grid_t"], r["grid_h"], r["grid_w"]] for r in some], dtype=np.int64)
         return out
 

@@ -128,4 +128,4 @@ def prepare_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepare_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-12, IMG-11 to IMG-20: pixels of whole batches of pictures"""
     out = Engine(spark).prepare_batch(picture_requests(spark, sf_dir)).patches()
-    return out.select("batch_id", "occurrence_index", "cache_key", F.octet_length("patches").alias("bytes"), F.sha2("patches", 256).alias("digest"), "error")
+    return out.select("batch_id", "request_index", "cache_key", F.octet_length("patches").alias("bytes"), F.sha2("patches", 256).alias("digest"), "error")
