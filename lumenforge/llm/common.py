@@ -33,3 +33,7 @@ def unit(key: Column, salt: str) -> Column:
     """60 bits of MD5 of ``key`` and ``salt``; DuckDB computes the same."""
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(salt))), 1, 15), 16, 10).cast("long")
 
+
+def mark() -> Column:
+    """A hash of doc_id and text: tells rows that share a doc_id apart by their text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")

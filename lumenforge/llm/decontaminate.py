@@ -25,10 +25,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .common import mark
 from .textscan import chunks, common_length, runs
 
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
@@ -42,11 +43,6 @@ def _lower(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
 
 
-def mark() -> Column:
-    """Tells rows that share a doc_id apart by their text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
-
-
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the row's doc_id and text) and the 32-bit hashes of its words."""
 

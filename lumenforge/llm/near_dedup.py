@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch, tiles
+from .common import mark
 from .components import components
 from .minhash import band_keys, superminhash
 from .textscan import chunks, mix64, shingles, words
@@ -37,7 +38,7 @@ def _set_keys(elements: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (set key), bands (empty for a text without words)."""
+    """doc_id, mark, n_shingles, k1, k2 (set key), bands (empty for a text without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,9 +49,9 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 keys = band_keys(superminhash(elements, first, SLOTS), BANDS).view(np.int64)[n > 0]
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), bands], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("doc_id", "mark")), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), bands], ["doc_id", "mark", "n_shingles", "k1", "k2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), mark().alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -104,7 +105,7 @@ def near_dedup(docs: DataFrame, width: int = 5, similar: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of ``similar`` percent or more.
 
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id,
-    n_shingles, component_id (least doc_id that can be reached), kept (doc_id = component_id).
+    n_shingles, component_id (least doc_id that can be reached), kept (doc_id = component_id), mark.
     Texts without words (null, empty, white space) are linked with nothing. Rows that repeat a
     doc_id are one document where they are linked, and each stays a row. A null doc_id has no
     place in the order of identifiers: such a row is linked with nothing and kept. An empty table gives
@@ -123,4 +124,4 @@ def near_dedup(docs: DataFrame, width: int = 5, similar: int = 80) -> DataFrame:
     by_salt = spread.select(*key, "salt").join(classes, key)
     out = prints.withColumn("salt", F.coalesce(salt, F.lit(0).cast("long"))).join(by_salt, [*key, "salt"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "mark")

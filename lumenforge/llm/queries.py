@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2, similar=80)
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), width=2, similar=80).drop("mark")
 
 
 def op2_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
