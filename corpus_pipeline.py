@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.llm import decontaminate, mixing, near_dedup, scratch, sharding, toxicity
-from lumenforge.llm.common import read
+from lumenforge.llm.common import mark, read
 from lumenforge.shipping import ship
 
 ORACLE_SQL = None
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles, the one of least doc_id stays; of rows equal in doc_id and text, one."""
     ship(spark)
-    found = near_dedup.near_dedup(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
+    kept = docs.join(found, (F.col("doc_id") == F.col("_doc")) & (mark() == F.col("_mark")), "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
     twice = scratch.table(twice, "repeated")
     if twice.isEmpty():
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that contain no item of the benchmark stay."""
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
     found = scratch.table(found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (decontaminate.mark() == F.col("_mark")), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (mark() == F.col("_mark")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
