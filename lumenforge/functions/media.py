@@ -295,31 +295,57 @@ def taps(size: int, to: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(at, size - 1), w / w.sum(axis=1, keepdims=True)
 
 
-def _along(x: np.ndarray, at: np.ndarray, w: np.ndarray, axis: int) -> np.ndarray:
-    shape = (-1, 1) if axis == 1 else (-1, 1, 1)
-    return sum(np.take(x, at[:, k], axis=axis) * w[:, k].reshape(shape) for k in range(at.shape[1]))
+#: Rows that are resized at once: their sums stay in a core's cache.
+_STRIP = 32
+
+
+def _weighted(x: np.ndarray, at: np.ndarray, w: np.ndarray, start: np.generic) -> np.ndarray:
+    """Weighted sums of rows of x (rows, values), on top of ``start``, in its type."""
+    acc = np.full((len(at), x.shape[1]), start)
+    for k in range(at.shape[1]):
+        acc += x[at[:, k]] * w[:, k, None]
+    return acc
+
+
+def _fixed_rows(x: np.ndarray, to: int) -> np.ndarray:
+    """Rows of bytes resized in 22-bit fixed point, rounded. Sums stay under 2**31: weights add up to 1, with small negative parts."""
+    at, w = taps(len(x), to)
+    w = np.trunc(w * (1 << 22) + np.where(w < 0, -0.5, 0.5)).astype(np.int32)
+    half = np.int32(1 << 21)
+    out = np.empty((to, x.shape[1]), np.uint8)
+    for a in range(0, to, _STRIP):
+        out[a : a + _STRIP] = np.clip(_weighted(x, at[a : a + _STRIP], w[a : a + _STRIP], half) >> 22, 0, 255)
+    return out
+
+
+def _float_rows(x: np.ndarray, to: int) -> np.ndarray:
+    at, w = taps(len(x), to)
+    w = w.astype(np.float32)
+    out = np.empty((to, x.shape[1]), np.float32)
+    for a in range(0, to, _STRIP):
+        out[a : a + _STRIP] = _weighted(x, at[a : a + _STRIP], w[a : a + _STRIP], np.float32(0))
+    return out
+
+
+def _resized(x: np.ndarray, height: int, width: int, rows) -> np.ndarray:
+    """Across, then down; columns are turned into rows for that."""
+    if x.shape[1] != width:
+        turned = np.ascontiguousarray(x.transpose(1, 0, 2))
+        x = np.ascontiguousarray(rows(turned.reshape(len(turned), -1), width).reshape(width, x.shape[0], 3).transpose(1, 0, 2))
+    if x.shape[0] != height:
+        x = rows(np.ascontiguousarray(x).reshape(len(x), -1), height).reshape(height, width, 3)
+    return x
 
 
 def resize_image(x: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bicubic in 22-bit fixed point: across, then down, rounded after each. The same size is a copy."""
-    for axis, to in ((1, width), (0, height)):
-        if x.shape[axis] != to:
-            at, w = taps(x.shape[axis], to)
-            fixed = np.trunc(w * (1 << 22) + np.where(w < 0, -0.5, 0.5)).astype(np.int64)
-            x = np.clip((_along(x.astype(np.int64), at, fixed, axis) + (1 << 21)) >> 22, 0, 255).astype(np.uint8)
-    return x
+    return _resized(x, height, width, _fixed_rows)
 
 
 def resize_frame(x: np.ndarray, height: int, width: int) -> np.ndarray:
     """Single precision across, then down; then whole numbers of 0 to 255, half to even."""
-    out = x.astype(np.float32)
-    if x.shape[:2] == (height, width):
-        return out
-    for axis, to in ((1, width), (0, height)):
-        if out.shape[axis] != to:
-            at, w = taps(out.shape[axis], to)
-            out = _along(out, at, w.astype(np.float32), axis)
-    return np.round(np.clip(out, 0, 255)).astype(np.float32)
+    out = _resized(x.astype(np.float32), height, width, _float_rows)
+    return np.round(np.clip(out, 0, 255)).astype(np.uint8)
 
 
 def normalise(x: np.ndarray) -> np.ndarray:
@@ -327,16 +353,23 @@ def normalise(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.float32) - half) / half
 
 
+_NORMAL = normalise(np.arange(256))
+
+
 def patchify(frames: np.ndarray) -> np.ndarray:
-    """Patches of frames (time, height, width, 3), normalised; an odd last frame counts twice.
+    """Patches of frames of bytes (time, height, width, 3), normalised; an odd last frame counts twice.
 
     Rows go by time, outer row and column, then row and column in a merge group; values by channel, time, row and column.
+    Bytes are moved before they become four times as large.
     """
-    if len(frames) % TEMPORAL:
-        frames = np.concatenate([frames, frames[-1:]])
     t, h, w, _ = frames.shape
-    x = normalise(frames).reshape(t // TEMPORAL, TEMPORAL, h // PATCH // MERGE, MERGE, PATCH, w // PATCH // MERGE, MERGE, PATCH, 3)
-    return np.ascontiguousarray(x.transpose(0, 2, 5, 3, 6, 8, 1, 4, 7)).reshape(-1, 3 * TEMPORAL * PATCH * PATCH)
+    if t % TEMPORAL and t > 1:
+        frames, t = np.concatenate([frames, frames[-1:]]), t + 1
+    depth = 1 if t == 1 else TEMPORAL
+    x = frames.reshape(t // depth, depth, h // PATCH // MERGE, MERGE, PATCH, w // PATCH // MERGE, MERGE, PATCH, 3)
+    x = np.ascontiguousarray(x.transpose(0, 2, 5, 3, 6, 8, 1, 4, 7)).reshape(-1, 3, depth, PATCH * PATCH)
+    out = np.take(_NORMAL, x)
+    return (out if depth == TEMPORAL else np.repeat(out, TEMPORAL, axis=2)).reshape(-1, 3 * TEMPORAL * PATCH * PATCH)
 
 
 def unpatchify(rows: np.ndarray, t: int, h: int, w: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,24 @@ def probe_image(data: pd.Series, declared: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None,) * 5 if d is None else media.probe(bytes(d), f) for d, f in zip(data, declared, strict=True)], columns=[f.name for f in _PROBED])
 
 
+@lru_cache(maxsize=16)
+def plan_column(app: str, limits: tuple[tuple[str, int], ...]) -> Column:
+    """Plan of an occurrence, over the columns that ``Prepared`` gives it. Built once an application: it has thousands of nodes."""
+    c, i = F.col, F.col("item")
+    sizes = (i["min_pixels"], i["max_pixels"], i["resized_height"], i["resized_width"])
+    h, w = c("source_height"), c("source_width")
+    clip = geometry.video_plan(h, w, c("_frames"), *sizes, i["total_pixels"], c("_listed"), c("_ready"), dict(limits))
+    return F.when(c("modality") == "image", geometry.image_plan(h, w, *sizes, dict(limits))).otherwise(clip)
+
+
+@lru_cache(maxsize=16)
+def metadata_column(app: str) -> Column:
+    """Metadata of a clip, null for images."""
+    c, i = F.col, F.col("item")
+    facts = geometry.video_metadata(c("_frames"), c("_fps"), i["sample_fps"], i["raw_fps"], c("_frames_indices"), c("_timestamps"), c("_total_num_frames"), c("_listed"))
+    return F.when(c("modality") == "video", facts)
+
+
 @dataclass
 class Prepared:
     """Relations of a prepared input; ``errors`` has one row for each failed batch, and no other result has rows of those."""
@@ -84,27 +102,23 @@ class Prepared:
         for side in ("height", "width"):
             given = F.when(encoded, F.col(f"_probe.{side}")).when(F.col("modality") == "image", F.col(f"image.{side}")).otherwise(first[side])
             rows = rows.withColumn(f"source_{side}", given.cast("long"))
-        return rows
+        flags = {f"_{new}": F.coalesce(F.col(f"video.{x}"), F.lit(False)) for new, x in (("listed", "image_frames"), ("ready", "preprocessed"))}
+        return rows.withColumns({**flags, "_frames": F.size("video.frames").cast("long")})
+
+    def _planned(self, rows: DataFrame) -> DataFrame:
+        app = self.engine.spark.sparkContext.applicationId
+        return rows.withColumn("plan", plan_column(app, tuple(self.engine.limits.items())))
 
     @cached_property
     def occurrences(self) -> DataFrame:
         """One row per image or video item of requests without errors: its plan, or its error. Written, without bytes."""
         h, w = F.col("source_height"), F.col("source_width")
-        listed, ready = (F.coalesce(F.col(f"video.{x}"), F.lit(False)) for x in ("image_frames", "preprocessed"))
-        uneven = (F.col("modality") == "video") & (~listed | ready) & F.exists("video.frames", lambda f: (f["height"] != h) | (f["width"] != w))
+        uneven = (F.col("modality") == "video") & (~F.col("_listed") | F.col("_ready")) & F.exists("video.frames", lambda f: (f["height"] != h) | (f["width"] != w))
         rows = self._located().select(
-            "batch_id", *layout.PLACE, "input_index", "modality", "profile", "item", "source_height", "source_width", "_probe", "_unsupported", uneven.alias("_uneven"),
-            F.size("video.frames").cast("long").alias("_frames"), listed.alias("_listed"), ready.alias("_ready"),
+            "batch_id", *layout.PLACE, "input_index", "modality", "profile", "item", "source_height", "source_width", "_probe", "_unsupported", "_frames", "_listed", "_ready", uneven.alias("_uneven"),
             *(F.col(f"video.{x}").alias(f"_{x}") for x in ("fps", "frames_indices", "timestamps", "total_num_frames")),
         )
-        i = F.col("item")
-        sizes = (i["min_pixels"], i["max_pixels"], i["resized_height"], i["resized_width"])
-        frames = F.col("_frames")
-        clip = geometry.video_plan(h, w, frames, *sizes, i["total_pixels"], F.col("_listed"), F.col("_ready"), self.engine.limits)
-        still = geometry.image_plan(h, w, *sizes, self.engine.limits)
-        rows = rows.withColumn("plan", F.when(F.col("modality") == "image", still).otherwise(clip))
-        facts = geometry.video_metadata(frames, F.col("_fps"), i["sample_fps"], i["raw_fps"], F.col("_frames_indices"), F.col("_timestamps"), F.col("_total_num_frames"), F.col("_listed"))
-        rows = rows.withColumn("video_metadata", F.when(F.col("modality") == "video", facts))
+        rows = self._planned(rows).withColumn("video_metadata", metadata_column(self.engine.spark.sparkContext.applicationId))
         rows = scratch.table(rows, "planned", "zstd")
         mode, limit = F.col("_probe.mode"), F.col("plan.error").isin("arithmetic_overflow", "resource_limit")
         error = F.coalesce(
@@ -185,11 +199,7 @@ class Prepared:
 
         One row leaves a task at a time, so a task holds one picture or clip. Sizes are planned again beside the bytes.
         """
-        i = F.col("item")
-        sizes = (i["min_pixels"], i["max_pixels"], i["resized_height"], i["resized_width"])
-        h, w = F.col("source_height"), F.col("source_width")
-        clip = geometry.video_plan(h, w, F.size("video.frames").cast("long"), *sizes, i["total_pixels"], F.col("video.image_frames"), F.col("video.preprocessed"), self.engine.limits)
-        rows = self._located().withColumn("plan", F.when(F.col("modality") == "image", geometry.image_plan(h, w, *sizes, self.engine.limits)).otherwise(clip))
+        rows = self._planned(self._located())
         rows = rows.join(self.errors.select("batch_id"), "batch_id", "left_anti")
         rows = rows.select("batch_id", *layout.PLACE, "modality", "profile", "item", "image", "video", F.col("_probe.format").alias("image_format"), F.col("_probe.mode").alias("image_mode"), "plan.height", "plan.width")
         marks = {k: fingerprint(k) for k in PROFILES}

@@ -30,17 +30,14 @@ SELECT p_partkey, c, y, x, y // 32 * 12 + x // 32 * 4 + y % 32 // 16 * 2 + x % 3
 def normalize_patch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG-15, IMG-16: where the pixels of a 64 by 96 picture go, looked up in the kernel's own output"""
     h, w = 64, 96
-    where = np.arange(h * w, dtype=np.float64).reshape(h, w)
-    frames = np.repeat(where[None, :, :, None], 3, axis=3)
-    index = M.patchify(frames[:, :, :, :] % 256)  # shape only; places come from two digit planes
-    low, high = (M.patchify(np.repeat(v[None, :, :, None], 3, axis=3)) * np.float32(127.5) + np.float32(127.5) for v in (where % 256, where // 256))
+    where = np.arange(h * w).reshape(h, w)
+    low, high = (M.patchify(np.repeat(v[None, :, :, None], 3, axis=3).astype(np.uint8)) * np.float32(127.5) + np.float32(127.5) for v in (where % 256, where // 256))
     place = np.rint(low + 256 * high).astype(int)
     found = np.zeros((3, h * w, 2), dtype=int)
     for c in range(3):
         part = place[:, c * 512 : c * 512 + 256]
         r, k = np.indices(part.shape)
         found[c, part.ravel()] = np.stack([r.ravel(), k.ravel() + c * 512], axis=1)
-    assert index.shape == place.shape
     cells = spark.createDataFrame([(c, i // w, i % w, int(found[c, i, 0]), int(found[c, i, 1])) for c in range(3) for i in range(h * w)], "c long, y long, x int, patch_row long, first_column long")
     rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("c"), (F.col("p_partkey") % 64).alias("y"), (F.col("p_size") % 96).alias("x"))
     value = ((F.col("x") + F.col("y")) * 2 - 127.5).cast("float") / F.lit(127.5).cast("float")
@@ -88,7 +85,7 @@ def png_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
                 y = M.resize_image(M.to_rgb(M.decode_png(data)), 64, 96)
                 back = M.unpatchify(M.patchify(y[None]), 1, 4, 6)[0]
                 same = bool((M.normalise(y) == back).all() and (M.decode_png(data) == x).all())
-                near = stats.ssim(M.resize_image(x, 64, 96)[:, :, 0], np.clip(M.resize_frame(x, 64, 96), 0, 255)[:, :, 0])
+                near = stats.ssim(M.resize_image(x, 64, 96)[:, :, 0], M.resize_frame(x, 64, 96)[:, :, 0])
                 yield pa.RecordBatch.from_pylist([{"n_nationkey": k, "height": h, "width": w, "mode": mode, "error": error, "same": same, "similar": near > 0.99}], _KERNEL)
 
     return rows.mapInArrow(run, "n_nationkey int, height long, width long, mode string, error string, same boolean, similar boolean")
