@@ -9,10 +9,10 @@ centre; no pairs are written out, and no task holds more than a tile.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,26 +39,79 @@ def tile_links(n: int, near: Callable[[int, np.ndarray], np.ndarray], probe: np.
     return links, parent
 
 
-def _verify(rows: DataFrame, tester: Tester, probing: str) -> DataFrame:
-    """rows: centre, tile, id, payload, probe. Gives links a, b, and open members: a = centre, b = id, open."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "payload", "probe"]).sort_values(["probe", "id"], ascending=[False, True], kind="stable")
-        ids, centre = pdf["id"].to_numpy(), int(pdf["centre"].iloc[0])
-        near, every = tester(list(pdf["payload"])), np.ones(len(ids), dtype=bool)
-        if probing == "centre":
-            first = np.flatnonzero(ids == centre)[:1]
+class _Tile:
+    """Members of one tile, and the next probes: no more of those than a tile has members are held."""
+
+    def __init__(self, centre: int, tester: Tester) -> None:
+        self.centre, self.tester = centre, tester
+        self.members, self.probes, self.seen = ([], []), ([], []), set()
+        self.links: list[tuple[int, int, bool]] = []
+
+    def add(self, ids: list[int], raw: list[bytes], probing: bool) -> None:
+        held = self.probes if probing else self.members
+        for i, x in zip(ids, raw, strict=True):
+            if (key := (i, probing, hash(x))) not in self.seen:
+                self.seen.add(key)
+                held[0].append(i)
+                held[1].append(x)
+                if probing and len(held[0]) >= TILE:
+                    self._probe()
+
+    def _probe(self) -> None:
+        n, ids = len(self.members[0]), self.members[0] + self.probes[0]
+        near = self.tester(self.members[1] + self.probes[1])
+        own = np.arange(len(ids)) < n  # other probes are members of other tiles
+        links, _ = tile_links(len(ids), near, np.arange(n, len(ids)), own)
+        self.links += [(ids[p], ids[q], False) for p, q in links]
+        self.seen -= {k for k in self.seen if k[1]}
+        self.probes = ([], [])
+
+    def finish(self, probing: bool) -> list[tuple[int, int, bool]]:
+        ids = self.members[0]
+        if probing:
+            if self.probes[0]:
+                self._probe()
+        elif len(ids) > 1:
+            near, every = self.tester(self.members[1]), np.ones(len(ids), dtype=bool)
+            first = np.array([ids.index(self.centre)])
             links, parent = tile_links(len(ids), near, first, every)
             apart = np.flatnonzero(parent != parent[first[0]])
             more, _ = tile_links(len(ids), near, apart, every)
-            out = [(int(ids[p]), int(ids[q]), False) for p, q in links + more] + [(centre, int(ids[p]), True) for p in apart]
-        else:
-            probe = pdf["probe"].to_numpy()
-            links, _ = tile_links(len(ids), near, np.flatnonzero(probe), ~probe)  # other probes are members of other tiles
-            out = [(int(ids[p]), int(ids[q]), False) for p, q in links]
-        return pd.DataFrame(out, columns=["a", "b", "open"]).astype({"a": "int64", "b": "int64", "open": "bool"})
+            self.links += [(ids[p], ids[q], False) for p, q in links + more] + [(self.centre, ids[p], True) for p in apart]
+        return self.links
+
+
+def _verify(rows: DataFrame, tester: Tester, probing: bool) -> DataFrame:
+    """rows: centre, tile, id, payload, probe. Gives links a, b, and open members: a = centre, b = id, open.
+
+    Tiles are many and small, so they stream through a sorted partition instead of being grouped one by one.
+    """
 
-    return rows.groupBy("centre", "tile").applyInPandas(run, "a long, b long, open boolean")
+    def batch_of(links: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+        kinds = (("a", pa.int64()), ("b", pa.int64()), ("open", pa.bool_()))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k, (_, kind) in enumerate(kinds)], [n for n, _ in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tile = None, None
+        for batch in batches:
+            found: list[tuple[int, int, bool]] = []
+            centre, number, ids, probe = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("centre", "tile", "id", "probe"))
+            raw = batch.column("payload").to_pylist()
+            edge = np.flatnonzero((centre[1:] != centre[:-1]) | (number[1:] != number[:-1]) | (probe[1:] != probe[:-1])) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if now != (centre[a], number[a]):
+                    found += tile.finish(probing) if tile else []
+                    now, tile = (centre[a], number[a]), _Tile(int(centre[a]), tester)
+                tile.add(ids[a:b].tolist(), raw[a:b], bool(probe[a]))
+            if found:
+                yield batch_of(found)
+        if tile:
+            yield batch_of(tile.finish(probing))
+
+    order = ["centre", "tile", "probe", "id"]
+    return rows.select(*order, "payload").repartition("centre", "tile").sortWithinPartitions(*order).mapInArrow(run, "a long, b long, open boolean")
 
 
 def links(near: DataFrame, payloads: Callable[[DataFrame], DataFrame], tester: Tester) -> DataFrame:
@@ -73,7 +126,7 @@ def links(near: DataFrame, payloads: Callable[[DataFrame], DataFrame], tester: T
     dealt = scratch.table(dealt.unionByName(heads), "dealt")
     members = scratch.table(payloads(dealt.select("id").distinct()), "payloads")
     rows = dealt.join(members, "id").select("centre", "tile", "id", "payload", F.lit(False).alias("probe"))
-    found = scratch.table(_verify(rows, tester, "centre"), "links")
+    found = scratch.table(_verify(rows, tester, False), "links")
     left = found.where("open").select(F.col("a").alias("centre"), F.col("b").alias("id"))
     left = left.join(count.where("tiles > 1"), "centre").select("centre", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"))
     left = scratch.table(left, "open")
@@ -81,4 +134,4 @@ def links(near: DataFrame, payloads: Callable[[DataFrame], DataFrame], tester: T
     others = dealt.where("tiles > 1").join(reached, "centre", "left_semi").select("centre", "tile", "id", F.lit(False).alias("probe"))
     again = left.select("centre", "tile", "id", F.lit(True).alias("probe")).unionByName(others)
     again = scratch.table(again, "again").join(members, "id").select("centre", "tile", "id", "payload", "probe")
-    return found.where("not open").select("a", "b").unionByName(_verify(again, tester, "open").select("a", "b"))
+    return found.where("not open").select("a", "b").unionByName(_verify(again, tester, True).select("a", "b"))
