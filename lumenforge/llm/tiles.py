@@ -48,10 +48,10 @@ class _Tile:
         self.links: list[tuple[int, int, bool]] = []
 
     def add(self, ids: list[int], raw: list[bytes], probing: bool) -> None:
-        held = self.probes if probing else self.members
         for i, x in zip(ids, raw, strict=True):
             if (key := (i, probing, hash(x))) not in self.seen:
                 self.seen.add(key)
+                held = self.probes if probing else self.members  # new ones after each _probe
                 held[0].append(i)
                 held[1].append(x)
                 if probing and len(held[0]) >= TILE:

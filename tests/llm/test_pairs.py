@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenforge.llm import exact_dedup, lines, near_dedup
+from lumenforge.llm import exact_dedup, lines, near_dedup, tiles
 from lumenforge.llm.common import read
 from lumenforge.llm.minhash import superminhash
 from lumenforge.llm.queries import ORACLES, QUERIES
@@ -74,6 +74,24 @@ def test_near_dedup_of_a_large_group(spark):
     assert got == dict(enumerate(root))
 
 
+def test_tiles_with_many_open_members(spark):
+    """Numbers are linked where they differ by one: few of them with their centre, so nearly all stay open."""
+    r = random.Random(9)
+    values = {i: v for i, v in enumerate(r.sample(range(4000), 1500))}
+
+    def tester(raw):
+        v = np.array([int(x) for x in raw])
+        return lambda p, apart: np.flatnonzero(apart & (np.abs(v - v[p]) == 1))
+
+    near = spark.createDataFrame([(0, i) for i in values if i], "centre long, id long")
+    own = spark.createDataFrame([(i, str(v).encode()) for i, v in values.items()], "id long, payload binary")
+    got = tiles.links(near, lambda ids: own.join(ids, "id"), tester).collect()
+    assert all(abs(values[x.a] - values[x.b]) == 1 for x in got)
+    want = components(1500, lambda i, j: abs(values[i] - values[j]) == 1)
+    pairs = {(x.a, x.b) for x in got} | {(x.b, x.a) for x in got}
+    assert components(1500, lambda i, j: (i, j) in pairs) == want
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(1)
     pool = r.integers(0, 2**63, 3000, dtype=np.uint64)
