@@ -9,7 +9,10 @@
 3. An item is indexed by its windows at several offsets; the window is short enough that
    any copy of the item contains one whole window of the document's own grid. All windows of
    all documents are compared with the index, in blocks, by cosine.
-4. A candidate place is confirmed by the longest common subsequence of the item and the words
+4. The latent index alone misses copies with scattered changes. So items are sought by their rarest words as
+   well: of a copy that ``COMMON`` accepts at most ``1 - COMMON`` of the item's words are missing, hence of that many
+   words and ``least`` more at least ``least`` stand in one stretch. That loses no copy.
+5. A candidate place is confirmed by the longest common subsequence of the item and the words
    around the place, and by its answer: the end of the item must be there as well.
    Items under ``SHORT`` words have too little to project; they are sought as exact sequences.
 
@@ -35,6 +38,8 @@ from .textscan import chunks, common_length, runs
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
 SHORT, COSINE, COMMON, ANSWER = 15, 0.8, 0.7, 0.5
 ITEMS = 4096
+#: The most pairs of a word and an item that are looked at together.
+PAIRS = 1 << 20
 _CHAR = np.zeros(256, dtype=bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -164,8 +169,8 @@ def sketch(rows: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_basis(rows: DataFrame) -> np.ndarray:
-    """Latent coordinates of each bucket (DIM by RANK), IDF and scaling included."""
+def latent_basis(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Latent coordinates of each bucket (DIM by RANK), IDF and scaling included, and the passages that have it."""
     found, passages = passage_frequencies(rows)
     idf = np.log((passages + 1) / (found + 1)) + 0.1
     omega = np.random.default_rng(7).standard_normal((DIM, WIDE))
@@ -175,7 +180,7 @@ def latent_basis(rows: DataFrame) -> np.ndarray:
     value, vector = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(-value)[:RANK]
     sigma = np.sqrt(np.maximum(value[best], 1e-9 * max(value.max(), 1e-9)))
-    return ((q @ vector[:, best]) / sigma * idf[:, None] * sigma.mean()).astype(np.float32)
+    return ((q @ vector[:, best]) / sigma * idf[:, None] * sigma.mean()).astype(np.float32), found
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -186,10 +191,20 @@ def _width(n: int) -> int:
     return 24 if n >= 47 else 16 if n >= 31 else 8
 
 
+def _need(n: int) -> int:
+    """The fewest words of an item of n words that are a share of COMMON."""
+    return int(np.ceil(COMMON * n - 1e-9))
+
+
+def _reach(n: int) -> int:
+    """Words of the stretch in which an item of n words is sought."""
+    return n + 2 * (n // 4)
+
+
 class Index:
     """Items of a benchmark block, ready to be sought."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray], basis: np.ndarray) -> None:
+    def __init__(self, ids: list[int], items: list[np.ndarray], basis: np.ndarray, common: np.ndarray) -> None:
         self.ids, self.items, self.basis = ids, items, basis
         self.scales: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         entries: dict[int, list[tuple[int, int]]] = {}
@@ -202,11 +217,68 @@ class Index:
             self.around[w] = np.stack([items[i][np.clip(np.arange(o - 2, o + w + 2), 0, len(items[i]) - 1)] for i, o in found])
             x = np.stack([basis[items[i][o : o + w] & np.uint32(DIM - 1)].sum(axis=0) for i, o in found])
             self.scales[w] = (_unit(x).T.astype(np.float32), np.array([i for i, _ in found]), np.array([o for _, o in found]))
+        self._seed(common)
         self.short: dict[int, dict[bytes, list[int]]] = {}
         for i, t in enumerate(items):
             if 0 < len(t) < SHORT:
                 self.short.setdefault(len(t), {}).setdefault(t.tobytes(), []).append(i)
 
+    def _seed(self, common: np.ndarray) -> None:
+        """The rarest words of each item, and how many of them a copy has at least. common: how common each bucket is."""
+        size = np.array([len(t) for t in self.items], dtype=np.int64)
+        self.least, self.reach = 1 + size // 10, size + 2 * (size // 4)
+        words, of = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i, t in enumerate(self.items):
+            if len(t) >= SHORT:
+                order = np.lexsort((t, common[t & np.uint32(DIM - 1)]))
+                words.append(np.unique(t[order[: len(t) - _need(len(t)) + self.least[i]]]))
+                of.append(np.full(len(words[-1]), i))
+        word, of = np.concatenate(words), np.concatenate(of)
+        order = np.argsort(word, kind="stable")
+        self.posting = of[order]
+        self.words, self.begin, self.many = np.unique(word[order], return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[self.words & np.uint32(0xFFFF)] = True
+
+    def seeded(self, t: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, and begin and end of each stretch of words in which the item may stand; together they hold every copy."""
+        at = np.flatnonzero(self.maybe[t & np.uint32(0xFFFF)])
+        if not len(self.words) or not len(at):
+            return
+        k = np.minimum(np.searchsorted(self.words, t[at]), len(self.words) - 1)
+        real = self.words[k] == t[at]
+        at, k = at[real], k[real]
+        sums = np.concatenate([[0], np.cumsum(self.many[k])])
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(sums, sums[a] + PAIRS, "right")) - 1)
+            # Those that begin before b; their stretches may reach further.
+            end = len(at) if b >= len(at) else int(np.searchsorted(at, at[b - 1] + self.reach.max()))
+            n = self.many[k[a:end]]
+            item = self.posting[np.repeat(self.begin[k[a:end]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            nth = np.repeat(np.arange(a, end), n)
+            order = np.argsort(item, kind="stable")
+            item, nth = item[order], nth[order]
+            place = at[nth]
+            row = np.searchsorted(first, place, "right") - 1
+            last = np.arange(len(item)) + self.least[item] - 1
+            some = np.flatnonzero((nth < b) & (last < len(item)))
+            last = last[some]
+            some = some[(item[last] == item[some]) & (row[last] == row[some]) & (place[last] - place[some] < self.reach[item[some]])]
+            now = None
+            for r, i, p in zip(row[some].tolist(), item[some].tolist(), place[some].tolist(), strict=True):
+                reach = int(self.reach[i])
+                low, high = max(int(first[r]), p - reach + 1), min(int(first[r + 1]), p + reach)
+                if now and now[:2] == (r, i) and low <= now[3]:
+                    now = (r, i, now[2], high)
+                    continue
+                if now:
+                    yield now
+                now = (r, i, low, high)
+            if now:
+                yield now
+            a = b
+
     def candidates(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, items and places in t where the item would begin. Three fifths of the window's words must be in the item's window or beside it."""
         starts, row = _windows(first, 8, False)
@@ -252,6 +324,19 @@ def confirmed(item: np.ndarray, near: np.ndarray) -> float:
     return share if share >= COMMON and common_length(answer, near) >= ANSWER * len(answer) else 0.0
 
 
+def contained(item: np.ndarray, near: np.ndarray) -> float:
+    """Share of the item in the first stretch that is confirmed, or in those after it while it grows; 0 if none is."""
+    need, reach, best = _need(len(item)), _reach(len(item)), 0.0
+    at = np.flatnonzero(np.isin(near, item))
+    begin = at[: max(0, len(at) - need + 1)]
+    for p in begin[at[need - 1 :] - begin < reach].tolist():
+        share = confirmed(item, near[p : p + reach])
+        if share < best or share == 1:
+            return max(share, best)
+        best = share
+    return best
+
+
 def search(rows: DataFrame, index: Index) -> DataFrame:
     """doc_id, mark, row (number of the written row), items (by commas), share (the best one) of every row."""
 
@@ -267,6 +352,9 @@ def search(rows: DataFrame, index: Index) -> DataFrame:
                     n = len(index.items[i])
                     if share := confirmed(index.items[i], t[max(first[r], p - n // 4) : min(first[r + 1], p + n + n // 4)]):
                         found[r][i] = share
+                for r, i, low, high in index.seeded(t, first):
+                    if not found[r].get(i) and (share := contained(index.items[i], t[low:high])):
+                        found[r][i] = share
                 for r, i in index.exact_short(t, first):
                     found[r][i] = 1.0
                 items = [",".join(map(str, sorted(index.ids[i] for i in x))) for x in found]
@@ -296,17 +384,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = scratch.table(tokens(docs).withColumn("row", F.uuid()), "tokens", "zstd")
     sought = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").alias("doc_id"), "text")
     sought = scratch.table(tokens(sought).dropDuplicates(["doc_id", "tokens"]), "items").orderBy("doc_id", "tokens")
-    basis, block, out = None, [], []
+    basis, common, block, out = None, np.zeros(DIM), [], []
     for r in sought.toLocalIterator():
         block.append((r["doc_id"], np.frombuffer(bytes(r["tokens"]), dtype=np.uint32)))
         if len(block) == ITEMS:
-            basis = latent_basis(rows) if basis is None else basis
-            out.append(search(rows, Index([i for i, _ in block], [t for _, t in block], basis)))
+            basis, common = latent_basis(rows) if basis is None else (basis, common)
+            out.append(search(rows, Index([i for i, _ in block], [t for _, t in block], basis, common)))
             block = []
     if block or not out:
-        basis = latent_basis(rows) if basis is None and block else basis
+        basis, common = latent_basis(rows) if basis is None and block else (basis, common)
         empty = np.zeros((DIM, RANK), np.float32)
-        out.append(search(rows, Index([i for i, _ in block], [t for _, t in block], empty if basis is None else basis)))
+        out.append(search(rows, Index([i for i, _ in block], [t for _, t in block], empty if basis is None else basis, common)))
     found = out[0]
     if len(out) > 1:  # every block has every row, by its number in the written table
         found = joined(out)

@@ -187,6 +187,36 @@ def test_decontamination_in_blocks(leaks, monkeypatch):
     assert sorted((str(r.doc_id), r.items) for r in decontaminate.decontaminate(docs, benchmark).collect()) == whole
 
 
+def test_decontamination_of_paraphrases(spark):
+    """Against the longest common subsequence of every stretch: words changed, added and left out all over the item."""
+    r = random.Random(21)
+    vocabulary = [f"{a}{b}{c}{d}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst" for d in "aeiou"]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([15, 16, 20, 20, 24, 30, 31, 40, 46, 47, 59, 90, 120] * 2)]
+    docs = []
+    for i in range(200):
+        part = items[i % len(items)][1].split(" ")
+        for _ in range(r.randrange(len(part) // 10, len(part) // 3 + 1)):
+            k = r.randrange(len(part) if i % 2 else len(part) // 2)  # half of them in the first half only
+            part[k : k + r.choice([0, 1, 1, 1, 1])] = words(r.choice([0, 1, 1, 1, 1]))
+        docs.append((i, " ".join([*words(r.randrange(50)), *part, *words(r.randrange(50))])))
+    part = items[2][1].split(" ")
+    part[:8:2] = words(4)
+    docs.append((900, " ".join([*words(16), *part])))
+    ids = {w: k for k, w in enumerate(vocabulary)}
+    coded = lambda text: np.array([ids[w] for w in text.split(" ")])
+    want = set()
+    for d, text in docs:
+        t = coded(text)
+        for i, item in items:
+            x = coded(item)
+            if np.isin(x, t).mean() >= decontaminate.COMMON and any(decontaminate.confirmed(x, t[p : p + len(x) + 2 * (len(x) // 4)]) for p in range(len(t))):
+                want.add((d, i))
+    assert (900, 2) in want
+    found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 80 and {(x.doc_id, int(i)) for x in found for i in x.items.split(",") if i} == want
+
+
 def test_decontamination_inputs(docs, empty, leaks):
     assert decontaminate.decontaminate(docs, leaks[1].limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(empty, leaks[1]).count() == 0
