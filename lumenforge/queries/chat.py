@@ -15,8 +15,8 @@ from lumenforge.sources import requests as R
 from . import query, table
 
 
-def _requests(spark: SparkSession, sf_dir: str, profile: str = "vl") -> DataFrame:
-    return R.from_turns(table(spark, sf_dir, "conversations"), profile=profile)
+def _requests(spark: SparkSession, sf_dir: str, profile: str = "vl", whole: bool = True) -> DataFrame:
+    return R.from_turns(table(spark, sf_dir, "conversations"), profile=profile, whole=whole)
 
 
 def _rendered(spark: SparkSession, sf_dir: str, profile: str) -> DataFrame:
@@ -53,7 +53,7 @@ def chat_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-1 to VAL-15, over conversations with some roles spoilt"""
     turns = table(spark, sf_dir, "conversations")
     spoilt = F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 1), "system").when((F.col("conv_id") % 11 == 5) & (F.col("turn") == 0), "narrator").otherwise(F.col("role"))
-    rows = R.from_turns(turns.withColumn("role", spoilt)).withColumn("_made", C.json_parts(F.col("messages"), F.col("options")))
+    rows = R.from_turns(turns.withColumn("role", spoilt), whole=True).withColumn("_made", C.json_parts(F.col("messages"), F.col("options")))
     rows = rows.withColumn("e", validate.structure_error(F.col("messages"), F.col("images"), F.col("videos"), F.col("_made")))
     return rows.select("batch_id", "request_index", "e.message", "e.category")
 
@@ -77,7 +77,7 @@ WITH r AS (SELECT conv_id // 32 AS batch_id, conv_id, sum(strlen(text)) AS bytes
 SELECT batch_id, count(*) AS requests, sum(bytes)::BIGINT AS text_bytes, CASE WHEN count(*) > 30 THEN 'requests_per_batch' WHEN sum(bytes) > 30000 THEN 'encoded_bytes_per_batch' END AS limit_name FROM r GROUP BY batch_id""")
 def preflight_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-16, AGG-5: batch limits, lowered, with text standing for encoded bytes"""
-    rows = R.from_turns(table(spark, sf_dir, "conversations"), per_batch=32)
+    rows = R.from_turns(table(spark, sf_dir, "conversations"), per_batch=32, whole=True)
     counted = validate.counts(F.col("messages"), F.col("images"), F.col("videos"), F.col("options"))
     sums = rows.select("batch_id", F.lit(0).alias("media"), counted["text_bytes"].alias("encoded_bytes"))
     found = layout.batch_errors(sums, LIMITS | {"requests_per_batch": 30, "encoded_bytes_per_batch": 30000})
@@ -92,7 +92,7 @@ SELECT conv_id, count(*) FILTER (WHERE role = 'tool' AND before IS DISTINCT FROM
 def tool_run_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-7, TXT-8: what the template opens and closes around runs of tool messages"""
     turns = table(spark, sf_dir, "conversations")
-    rows = R.from_turns(turns.withColumn("role", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1), "tool").otherwise(F.col("role"))), add_generation_prompt=False)
+    rows = R.from_turns(turns.withColumn("role", F.when((F.col("conv_id") % 3 == 0) & (F.col("turn") % 2 == 1), "tool").otherwise(F.col("role"))), add_generation_prompt=False, whole=True)
     rows = rows.withColumn("_made", C.json_parts(F.col("messages"), F.col("options")))
     text = C.render_vl(F.col("messages"), F.col("options"), F.col("_made"))
     number = (F.col("batch_id") * 256 + F.col("request_index")).alias("conv_id")
@@ -172,4 +172,4 @@ def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def prepare_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-12: prompts of whole batches, all or nothing"""
-    return Engine(spark).prepare_batch(_requests(spark, sf_dir)).text.select("batch_id", "request_index", "expanded")
+    return Engine(spark).prepare_batch(_requests(spark, sf_dir, whole=False)).text.select("batch_id", "request_index", "expanded")

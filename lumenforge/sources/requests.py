@@ -23,14 +23,16 @@ def read_requests(spark: SparkSession, path: str, kind: str = "parquet") -> Data
     return spark.read.schema(schema.REQUEST).format(kind).load(path)
 
 
-def from_turns(turns: DataFrame, per_batch: int = 256, add_generation_prompt: bool = True, profile: str = "vl") -> DataFrame:
+def from_turns(turns: DataFrame, per_batch: int = 256, add_generation_prompt: bool = True, profile: str = "vl", whole: bool = False) -> DataFrame:
     """Requests of plain-text conversations. turns: conv_id, turn, role, text.
 
     Conversations with more turns than a request may have would be gathered in vain: their rows beyond the
-    limit and one are left out before, so the request still fails by its limit and no task holds a huge one.
+    limit and one are left out before, so the request still fails by its limit and no task holds a huge one. ``whole``: every turn stays, for what doesn't apply that limit.
     """
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = turns.withColumn("_n", nth).where(F.col("_n") <= LIMITS["messages_per_request"] + 1)
+    rows = turns
+    if not whole:
+        nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+        rows = turns.withColumn("_n", nth).where(F.col("_n") <= LIMITS["messages_per_request"] + 1)
     message = F.struct("turn", "role", "text")
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
     messages = F.transform("m", lambda m: F.struct(

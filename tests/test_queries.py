@@ -44,3 +44,16 @@ def test_query(spark, duck, sf, name):
     mine = sorted(tuple(norm(r[x]) for x in names) for r in rows)
     theirs = sorted(tuple(norm(r[columns.index(x)]) for x in names) for r in found.fetchall())
     assert mine == theirs
+
+
+@pytest.mark.parametrize("name", ["chat_render_vl", "chat_render_thinking", "chat_validate", "last_query_index", "request_counts", "preflight_limits", "tool_run_edges"])
+def test_long_conversations(spark, tmp_path, name):
+    """Conversations of many more turns than a request may have, against the query's SQL."""
+    turns = [(c, k, "user" if k % 2 == 0 and k < 900 else "narrator" if (c, k) == (6, 701) else "assistant", f" turn {k} ") for c in (1, 3, 6) for k in range(1000)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = c.execute(ORACLES[name])
+    columns = [d[0] for d in found.description]
+    mine = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(tuple(norm(r[x]) for x in columns) for r in mine) == sorted(tuple(norm(x) for x in r) for r in found.fetchall())
