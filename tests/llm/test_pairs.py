@@ -180,6 +180,25 @@ def test_fuzzy_lines(spark, bucket):
     assert kept[102] == "short\n\nshort" and kept[100] is None
 
 
+def test_pieces_of_long_lines():
+    """Every piece of a line counts, and lines with one letter changed mostly stay within reach."""
+    r = random.Random(14)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(800)]
+    texts = [" ".join(r.choice(words) for _ in range(90)) for _ in range(400)]
+    changed = [x[:k] + "q" + x[k + 1 :] for x in texts for k in [r.randrange(len(x))]]
+
+    def arrays(some):
+        ends = np.cumsum([len(x) + 1 for x in some]) - 1
+        return np.frombuffer("\n".join(some).encode(), np.uint8), ends - [len(x) for x in some], ends
+
+    m, starts, ends = arrays(texts)
+    piece, n = lines._chosen(m, starts, ends, 1)
+    assert (n == ends - starts - lines.FAMILIES[1][0] + 1).all()
+    mean = np.tile(np.bincount(piece, minlength=1 << 16) @ lines._BITS.astype(float) / len(piece), (2, 1))
+    mine, other = (np.stack(lines._both(*arrays(x), mean), axis=1) for x in (texts, changed))
+    assert (np.bitwise_count(mine ^ other).min(axis=1) <= lines.FLIPS).mean() > 0.65
+
+
 @pytest.mark.parametrize("run", [near_dedup.near_dedup, exact_dedup.exact_dedup, lines.fuzzy_lines])
 def test_empty_and_awkward(docs, empty, run):
     assert run(empty).count() == 0
