@@ -30,7 +30,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.fuzzy_lines(read(spark, sf_dir, "documents")).drop("h")
+    return lines.fuzzy_lines(read(spark, sf_dir, "documents"), short=True).drop("h")
 
 
 def op6_chat_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

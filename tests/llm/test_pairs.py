@@ -180,6 +180,15 @@ def test_fuzzy_lines(spark, bucket):
     assert kept[102] == "short\n\nshort" and kept[100] is None
 
 
+def test_short_lines(spark, tmp_path):
+    """The query drops repeats of short lines; empty lines stay."""
+    long = "a line that is long enough to be compared nearly"
+    rows = [(2, f"Read more\n\nyes\n{long}"), (1, f"read more!\n{long}\n\nno"), (3, "YES\nread  more\n---\nmore"), (4, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.n_lines, x.dropped) for x in QUERIES["op5_fuzzy_lines"](spark, str(tmp_path)).collect())
+    assert got == [(1, 4, ""), (2, 4, "0,3"), (3, 4, "0,1"), (4, 0, ""), (4, 0, "")]
+
+
 def test_pieces_of_long_lines():
     """Every piece of a line counts, and lines with one letter changed mostly stay within reach."""
     r = random.Random(14)
