@@ -26,14 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 from .common import mark
-from .textscan import chunks, common_length, runs
+from .textscan import chunks, common_length, words
 
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
 SHORT, COSINE, COMMON, ANSWER = 15, 0.8, 0.7, 0.5
@@ -44,19 +43,14 @@ _CHAR = np.zeros(256, dtype=bool)
 _CHAR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-
-
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, mark (a hash of the row's doc_id and text) and the 32-bit hashes of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in chunks(_lower(batch.column("text"))):
-                hashed, starts, ends, of = runs(data, offsets, _CHAR)
-                t = (hashed(starts, ends) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                first = np.searchsorted(of, np.arange(b - a + 1))
+            for a, b, data, offsets in chunks(batch.column("text"), lower=True):
+                hashed, first = words(data, offsets, lower=False, table=_CHAR)
+                t = (hashed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 raw = [t[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(a, b - a) for x in ("doc_id", "mark")), pa.array(raw, pa.binary())], ["doc_id", "mark", "tokens"])
 

@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+#: Bytes of texts that are looked at together. Temporary arrays take about 50 times that.
+CHUNK = 1 << 18
 _BASE, _U = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+WORD = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[np.ndarray] = []
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -35,13 +37,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        inverse = _U(pow(int(_BASE), -1, 2**64))
-        for name, base in (("up", _BASE), ("down", inverse)):
-            x = np.full(n, base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[name] = np.multiply.accumulate(x)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    """The base's first n powers, and those of its inverse. Only the first CHUNK are kept."""
+
+    def powers(base: np.uint64) -> np.ndarray:
+        x = np.full(max(n, CHUNK), base, dtype=np.uint64)
+        x[0] = 1
+        return np.multiply.accumulate(x)
+
+    if _POWERS and n <= CHUNK:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    up, down = powers(_BASE), powers(_U(pow(int(_BASE), -1, 2**64)))
+    if n <= CHUNK:
+        _POWERS[:] = up, down
+    return up[:n], down[:n]
 
 
 def _word_edges(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +65,48 @@ def _word_edges(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the place in them where each text's words begin (one more at the end)."""
+def pieces(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of pieces of what ``chunks`` gives: texts of CHUNK bytes stay whole, a longer one is cut where ``table`` marks no byte.
+
+    A run of marked bytes is never cut, so one that is longer than CHUNK is a piece by itself.
+    """
+    if len(offsets) > 2 or len(data) <= CHUNK:
+        yield data, offsets
+        return
+    a = 0
+    while a < len(data):
+        b = min(a + CHUNK, len(data))
+        if b < len(data):
+            gaps = np.flatnonzero(~table[data[a:b]])
+            if len(gaps):
+                b = a + int(gaps[-1]) + 1
+            else:
+                while b < len(data) and table[data[b]]:
+                    b += 1
+        yield data[a:b], np.array([0, b - a])
+        a = b
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes in ``table``), and the place in them where each text's words begin (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends = _word_edges(data, offsets, ~_SPACE)
-    up, down = _powers(max(CHUNK, len(data)))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-    hashed = (sums[ends] - sums[starts]) * down[starts]
-    hashed ^= (ends - starts).astype(np.uint64) << _U(52)
-    return mix64(hashed), np.searchsorted(starts, offsets)
+    out = []
+    for part, cut in pieces(data, offsets, table):
+        starts, ends = _word_edges(part, cut, table)
+        hashed = hasher(_LOWER[part] if lower else part)(starts, ends)
+        if cut is offsets:
+            return hashed, np.searchsorted(starts, offsets)
+        out.append(hashed)
+    hashed = np.concatenate(out)
+    return hashed, np.array([0, len(hashed)])
 
 
 def hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A hash of byte ranges, given by their starts and ends."""
     if not len(data):
         return lambda a, b: np.zeros(len(a), np.uint64)
-    up, down = _powers(max(CHUNK, len(data)))
+    up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
     return lambda a, b: mix64(((sums[b] - sums[a]) * down[np.minimum(a, len(data) - 1)]) ^ ((b - a).astype(np.uint64) << _U(52)))
@@ -103,20 +135,23 @@ def common_length(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) - (v & mask).bit_count()
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pieces (first row, end, bytes, offsets) of whole texts, of about CHUNK bytes unless one text is longer. Null is empty."""
+def chunks(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pieces (first row, end, bytes, offsets) of whole texts, of about CHUNK bytes unless one text is longer. Null is empty.
+
+    Only the piece at hand is copied, and brought to lower case where asked for.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     a = 0
     while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        part = pc.fill_null(texts.slice(a, b - a).cast(pa.large_string()), "")
+        part = pc.utf8_lower(part) if lower else part
+        offsets = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        yield a, b, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         a = b
 
 

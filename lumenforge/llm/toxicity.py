@@ -20,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import scratch
 from .common import unit
-from .textscan import chunks, mix64, runs
+from .textscan import chunks, mix64, pieces, runs
 
 #: The most labelled rows that are learned from, and the most terms.
 SAMPLE, TERMS = 12_000, 256
@@ -52,10 +51,6 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     return out, of
 
 
-def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-
-
 def _hash_words(some: list[str]) -> np.ndarray:
     data, offsets = np.frombuffer(" ".join(some).encode(), np.uint8), np.array([0, len(" ".join(some).encode())])
     return _terms(data, offsets)[0][0]
@@ -72,20 +67,23 @@ def counts(texts: pa.Array, terms: np.ndarray, lexicon: np.ndarray) -> Iterator[
     sought = np.concatenate([terms, lexicon])
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[(sought & np.uint64(0xFFFF)).astype(np.int64)] = True
-    for a, b, data, offsets in chunks(_lower(texts)):
-        kinds, of = _terms(data, offsets)
-        found = np.zeros((b - a) * max(1, len(terms)), dtype=np.int64)
-        swears = np.zeros(b - a, dtype=np.int64)
-        for i, hashed in enumerate(kinds):
-            at = np.flatnonzero(maybe[(hashed & np.uint64(0xFFFF)).astype(np.int64)])
-            h, d = hashed[at], of[at]
-            if len(terms):
-                k = order[np.minimum(np.searchsorted(terms, h, sorter=order), len(terms) - 1)]
-                hit = terms[k] == h
-                found += np.bincount(d[hit] * len(terms) + k[hit], minlength=len(found))
-            if i == 0:
-                swears += np.bincount(d[np.isin(h, lexicon)], minlength=b - a)
-        yield a, b, found.reshape(b - a, -1)[:, : len(terms)], np.stack([np.bincount(of, minlength=b - a), swears, _loud(data, offsets)], axis=1)
+    for a, b, data, offsets in chunks(texts, lower=True):
+        n = b - a
+        found, other = np.zeros(n * max(1, len(terms)), dtype=np.int64), np.zeros((n, 3), dtype=np.int64)
+        for part, cut in pieces(data, offsets, _LETTER):
+            kinds, of = _terms(part, cut)
+            for i, hashed in enumerate(kinds):
+                at = np.flatnonzero(maybe[(hashed & np.uint64(0xFFFF)).astype(np.int64)])
+                h, d = hashed[at], of[at]
+                if len(terms):
+                    k = order[np.minimum(np.searchsorted(terms, h, sorter=order), len(terms) - 1)]
+                    hit = terms[k] == h
+                    found += np.bincount(d[hit] * len(terms) + k[hit], minlength=len(found))
+                if i == 0:
+                    other[:, 1] += np.bincount(d[np.isin(h, lexicon)], minlength=n)
+            other[:, 0] += np.bincount(of, minlength=n)
+            other[:, 2] += _loud(part, cut)
+        yield a, b, found.reshape(n, -1)[:, : len(terms)], other
 
 
 def features(found: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -166,7 +164,7 @@ def find_terms(rows: DataFrame, positive: int, negative: int, most: int) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = np.asarray(batch.column("toxic"))
-            for a, b, data, offsets in chunks(_lower(batch.column("text"))):
+            for a, b, data, offsets in chunks(batch.column("text"), lower=True):
                 kinds, of = _terms(data, offsets)
                 every, who = np.concatenate(kinds), np.tile(of, len(kinds))
                 every, who = every[every != 0], who[every != 0]
