@@ -14,7 +14,8 @@ from lumenforge.llm.common import mark, read
 from lumenforge.shipping import ship
 
 ORACLE_SQL = None
-ROW, SCORE = "_lumenforge_row", "_lumenforge_score"
+#: Names of columns that stages add and take away again; they clash with none of the documents'.
+ROW, SCORE, COPIES, DOC, MARK, N = (f"_lumenforge_{x}" for x in ("row", "score", "copies", "doc", "mark", "n"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles, the one of least doc_id stays; of rows equal in doc_id and text, one."""
     ship(spark)
-    found = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct()
-    kept = docs.join(found, (F.col("doc_id") == F.col("_doc")) & (mark() == F.col("_mark")), "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    found = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id").alias(DOC), F.col("mark").alias(MARK)).distinct()
+    kept = docs.join(found, (F.col("doc_id") == F.col(DOC)) & (mark() == F.col(MARK)), "left_anti")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias(N)).where(F.col(N) > 1).select("doc_id")
     twice = scratch.table(twice, "repeated")
     if twice.isEmpty():
         return kept
@@ -40,22 +41,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark stay."""
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
-    found = scratch.table(found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (mark() == F.col("_mark")), "left_anti")
+    found = scratch.table(found.select(F.col("doc_id").alias(DOC), F.col("mark").alias(MARK)).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(DOC)) & (mark() == F.col(MARK)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias(ROW))
-    taken = mixing.mix(rows, by=(ROW,)).where("copies > 0")
-    return taken.select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(f"{ROW}.*")
+    taken = mixing.copies(docs, COPIES).where(F.col(COPIES) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(COPIES))).alias(N)).drop(N)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with law, shard and slot; columns of these names in docs give way."""
+    """Documents with law, shard and slot, and their size and CRC-32; columns of docs with these names come last, with ``_before`` added."""
     new = ["law", "shard", "slot", "size", "text_crc32"]
-    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{x}`") for x in docs.columns if x not in new)).alias(ROW))
-    return sharding.shard(rows, by=(ROW,)).select(f"{ROW}.*", *new)
+    old = [F.col(f"{ROW}.{x}") for x in docs.columns if x not in new]
+    return sharding.shard(docs, row=ROW).select(*old, *new, *(F.col(f"{ROW}.{x}").alias(f"{x}_before") for x in docs.columns if x in new))
 
 
 STAGES = [
