@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,16 +58,37 @@ def test_secrets(secret_rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
-def test_network_tells_keys_from_words():
-    texts_, labels = secrets.made_findings(400, ["alpha", "model", "river", "stone", "paper"], seed=99)
-    train_x, train_y = secrets.made_findings(2000, ["alpha", "model", "river", "stone", "paper"], seed=7)
-    codes = lambda ts: np.stack([secrets._CODE[np.frombuffer(t.ljust(secrets.WINDOW), np.uint8)] for t in ts])
-    net = secrets.Network()
-    net.train(codes(train_x), np.array(train_y, np.float32))
-    net.calibrate(codes(texts_), np.array(labels, np.float32), 0.95)
-    p = net.probability(codes(texts_))
-    y = np.array(labels)
-    assert (p[y == 1] >= net.threshold).mean() >= 0.93 and (p[y == 0] >= net.threshold).mean() <= 0.05
+@pytest.mark.parametrize("n", [0, 1, 6, 7, 763])
+def test_network_tells_keys_from_words(n):
+    """On findings that no part of the fit has seen, for any number of real ones."""
+    r = np.random.default_rng(n)
+    real, label = secrets.made_windows(secrets.made_findings(max(n, 2), ["anchor", "meadow", "copper"], seed=50))
+    real, label = real[:n], np.where(r.random(n) < 0.02, 1, label[:n]).astype(np.float32)
+    net = secrets.fitted(real, label, ["alpha", "model", "river", "stone", "paper"], 0.95)
+    x, y = secrets.made_windows(secrets.made_findings(2000, ["winter", "table", "carpet", "lion", "orange"], seed=99))
+    fresh = net.measure(x, y)
+    assert net.report["recall"] >= 0.9 and net.report["precision"] >= 0.9 and 0.2 < net.report["positive"] / net.report["n"] < 0.8
+    assert fresh["recall"] >= 0.9 and fresh["precision"] >= 0.85, fresh
+
+
+def test_whole_candidates_are_read():
+    net = secrets.fitted(np.zeros((0, secrets.WINDOW), np.uint8), np.zeros(0, np.float32), [], 0.95)
+    key = "aZ3kQ9x71LmT0vB8rN5dW2yH"
+    found = lambda t: next(secrets.scan(pa.array([t]), net))[2][0]
+    for n in (0, 5, 60, 300):  # a key behind a path of any length
+        path = "".join("stone/" for _ in range(n // 6))
+        text = "é see " + path + key + " there"
+        assert any(a <= text.index(key) + 12 <= b and k == 3 for a, b, k in found(text)), n
+    lone = [(a, b) for a, b, k in found("ß " * 30 + key + " ß") if k == 3]
+    assert lone == [(60, 60 + len(key))]
+
+
+def test_many_findings_take_linear_time():
+    net = secrets.fitted(np.zeros((0, secrets.WINDOW), np.uint8), np.zeros(0, np.float32), [], 0.95)
+    r = random.Random(4)
+    text = "\n".join("é " + "".join(r.choice("abcXYZ0189") for _ in range(32)) + (" secret=abcdef" if i % 2 else "") for i in range(20000))
+    began = time.time()
+    assert len(next(secrets.scan(pa.array([text]), net))[2][0]) > 25000 and time.time() - began < 60
 
 
 def test_gradients():
