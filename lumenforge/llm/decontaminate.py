@@ -14,13 +14,15 @@
    words and ``least`` more at least ``least`` stand in one stretch. That loses no copy.
 5. A candidate place is confirmed by the longest common subsequence of the item and the words
    around the place, and by its answer: the end of the item must be there as well.
-   Items under ``SHORT`` words have too little to project; they are sought as exact sequences.
+   Items under ``PROJECTED`` words have too little to project and are sought by their rarest words alone; those under ``SHORT``
+   words, of which chance makes copies, as exact sequences; those under ``LEAST`` words are not sought, as every text has them.
 
 Nothing about documents reaches the driver but ``DIM`` counts and a ``DIM`` by ``WIDE`` matrix.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from .common import mark
 from .textscan import chunks, common_length, words
 
 DIM, PASSAGE, RANK, WIDE, BLOCK_ROWS = 8192, 32, 24, 28, 256
-SHORT, COSINE, COMMON, ANSWER = 15, 0.8, 0.7, 0.5
+PROJECTED, SHORT, LEAST, COSINE, COMMON, ANSWER = 15, 8, 3, 0.8, 0.7, 0.5
 ITEMS = 4096
 #: The most pairs of a word and an item that are looked at together.
 PAIRS = 1 << 20
@@ -131,7 +133,7 @@ def _sum_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def sketch(rows: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """A'(A * omega) over the passages of all rows, summed up a tree of fan-in 16."""
+    """A'(A * omega) over the passages of all rows, summed up a tree of fan-in 16 with one root, whatever the number of partitions."""
     weighted = np.concatenate([omega * idf[:, None], np.zeros((1, WIDE))]).astype(np.float32)
     square = np.append(idf**2, 0).astype(np.float32)
 
@@ -154,7 +156,7 @@ def sketch(rows: DataFrame, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     kind = "block long, node long, part binary"
     parts = rows.select("tokens").mapInArrow(run, kind)
     parts = parts.withColumn("node", F.expr("node div 16"))
-    for _ in range(3):
+    for _ in range(max(1, math.ceil(math.log(max(rows.rdd.getNumPartitions(), 1), 16)))):
         parts = parts.groupBy("block", "node").applyInPandas(_sum_blocks, kind)
     out = np.zeros((DIM, WIDE))
     for r in parts.collect():
@@ -203,7 +205,7 @@ class Index:
         self.scales: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         entries: dict[int, list[tuple[int, int]]] = {}
         for i, t in enumerate(items):
-            if len(t) >= SHORT:
+            if len(t) >= PROJECTED:
                 w = _width(len(t))
                 entries.setdefault(w, []).extend((i, o) for o in range(0, w, w // 8))
         self.around: dict[int, np.ndarray] = {}
@@ -214,7 +216,7 @@ class Index:
         self._seed(common)
         self.short: dict[int, dict[bytes, list[int]]] = {}
         for i, t in enumerate(items):
-            if 0 < len(t) < SHORT:
+            if LEAST <= len(t) < SHORT:
                 self.short.setdefault(len(t), {}).setdefault(t.tobytes(), []).append(i)
 
     def _seed(self, common: np.ndarray) -> None:
@@ -371,7 +373,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Returns one row per row of docs:
     doc_id, mark (see there), contaminated, items (identifiers by commas, in order), share (of the item found best, 0 to 1).
-    Null and empty texts contain nothing; items without words or identifier are not sought. Rows that repeat a
+    Null and empty texts contain nothing; items of fewer than three words or without identifier are not sought. Rows that repeat a
     doc_id are judged by their own text. An empty benchmark leaves everything clean.
     The benchmark is the query set: it is taken in blocks of ``ITEMS`` items, each compared with all rows.
     """
