@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-1. Voters. Terms (whole words and word beginnings) that mark toxic rows among the learning
-   rows are found by a grouped count; each one votes "toxic" where it occurs. Further voters:
-   a fixed lexicon, several hits, a density of hits, no hit at all, shouting.
-2. Label model. The votes of the learning rows and their (possibly wrong) labels are explained by a
-   hidden label: EM estimates what each voter says under either label, and discounts voters by
-   their correlation with the others given the label, so a word and its beginnings count about once.
+1. Voters. A lexicon: terms (whole words and word beginnings) that a grouped count finds to mark toxic rows among the
+   learning rows; each one votes "toxic" where it occurs. Patterns: words of a fixed lexicon, several hits or different hits, hits that are
+   dense or stand near each other, exclamation and question marks in number or in a row, masked letters; long texts without a hit, and
+   texts without any, vote "not toxic".
+2. Label model. The votes alone are explained by a hidden label: EM, from a vote in which voters that say the same share one voice, estimates how
+   often each voter speaks under either label, and discounts voters by their correlation with the others given
+   the label, so a word and its beginnings count about once. No label of a row is a voter; labels chose the lexicon, and choose the cut at the end.
 3. A linear classifier of the term counts is trained on the posterior labels, and its scores
    are stretched so that 0.7 is the cut of the best F1 on the learning rows.
 
@@ -56,20 +57,25 @@ def _hash_words(some: list[str]) -> np.ndarray:
     return _terms(data, offsets)[0][0]
 
 
-def _loud(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(data == 33)])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+def _signs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each text: exclamation marks, those after another, question marks, and stars or dollar signs between letters."""
+    loud, letter = data == 33, _LETTER[data]
+    twice, masked = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    twice[1:] = loud[1:] & loud[:-1]
+    masked[1:-1] = ((data[1:-1] == 42) | (data[1:-1] == 36)) & letter[:-2] & letter[2:]
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (loud, twice, data == 63, masked)]
+    return np.stack([x[offsets[1:]] - x[offsets[:-1]] for x in sums], axis=1)
 
 
 def counts(texts: pa.Array, terms: np.ndarray, lexicon: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end, counts of each term by text, [words, lexicon hits, exclamation marks] by text)."""
+    """(first row, end, counts of each term by text, [words, lexicon hits, and what ``_signs`` counts] by text)."""
     order = np.argsort(terms)
     sought = np.concatenate([terms, lexicon])
     maybe = np.zeros(1 << 16, dtype=bool)
     maybe[(sought & np.uint64(0xFFFF)).astype(np.int64)] = True
     for a, b, data, offsets in chunks(texts, lower=True):
         n = b - a
-        found, other = np.zeros(n * max(1, len(terms)), dtype=np.int64), np.zeros((n, 3), dtype=np.int64)
+        found, other = np.zeros(n * max(1, len(terms)), dtype=np.int64), np.zeros((n, 6), dtype=np.int64)
         for part, cut in pieces(data, offsets, _LETTER):
             kinds, of = _terms(part, cut)
             for i, hashed in enumerate(kinds):
@@ -82,7 +88,7 @@ def counts(texts: pa.Array, terms: np.ndarray, lexicon: np.ndarray) -> Iterator[
                 if i == 0:
                     other[:, 1] += np.bincount(d[np.isin(h, lexicon)], minlength=n)
             other[:, 0] += np.bincount(of, minlength=n)
-            other[:, 2] += _loud(part, cut)
+            other[:, 2:] += _signs(part, cut)
         yield a, b, found.reshape(n, -1)[:, : len(terms)], other
 
 
@@ -94,30 +100,44 @@ def features(found: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def votes(found: np.ndarray, other: np.ndarray) -> np.ndarray:
-    n, hits = np.maximum(other[:, 0], 1), (found > 0).sum(axis=1)
-    more = [np.where(other[:, 1] > 0, 1, 0), np.where(other[:, 1] > 1, 1, 0), np.where(hits > 3, 1, 0), np.where(found.sum(axis=1) > 0.02 * n, 1, 0), np.where((hits == 0) & (other[:, 1] == 0), -1, 0), np.where(other[:, 2] > 0.05 * n, 1, 0)]
-    return np.concatenate([found > 0, np.stack(more, axis=1)], axis=1).astype(np.int8)
+    """1 (toxic), -1 (not toxic) or 0 (no vote) of each voter, by text."""
+    n, kinds, hits, swears = np.maximum(other[:, 0], 1), (found > 0).sum(axis=1), found.sum(axis=1), other[:, 1]
+    loud, twice, asked, masked = other[:, 2:6].T
+    yes = [swears > 0, swears > 1, swears > 0.01 * n, kinds > 1, kinds > 3, kinds > 6, hits > 2, hits > 0.005 * n, hits > 0.02 * n, hits > 0.05 * n]
+    yes += [loud > 0.02 * n, loud > 0.05 * n, twice > 0, asked > 0.05 * n, masked > 0, (loud + twice > 0) & (kinds > 0)]
+    none = (hits == 0) & (swears == 0)
+    no = [none, none & (n >= 100), none & (loud == 0), (kinds == 1) & (hits == 1) & (n >= 300)]
+    return np.concatenate([found > 0, np.stack(yes, axis=1), -np.stack(no, axis=1).astype(np.int8)], axis=1).astype(np.int8)
 
 
-def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 12, trust: float = 0.9) -> np.ndarray:
-    """Posterior of the hidden label of each row; ``label`` is one more voter, right with odds ``trust``."""
-    post = np.where(label == 1, trust, 1 - trust)
+def label_model(v: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the hidden label of each row, and of each voter: odds to vote -1, 0 and 1 under label 1, then under label 0.
+
+    Label 1 is taken to hold for at most half of the rows, and no voter to be worse than chance.
+    """
+    whole = v - v.mean(axis=0)
+    sd = np.sqrt((whole**2).mean(axis=0)) + 1e-9
+    alike = ((whole.T @ whole) / len(v) / np.outer(sd, sd)) ** 2  # about 1 for voters that say the same
+    post = first = np.clip(1 / (1 + np.exp(-3 * (v @ (1 / np.maximum(alike.sum(axis=1), 1))))), 0.02, 0.98)
     said = [(v == x).astype(float) for x in (-1, 0, 1)]
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 0.01, 0.99)
-        like = []
+        prior = np.clip(post.mean(), 0.01, 0.5)
+        told = []
         for y in (post, 1 - post):
             p = np.stack([(s * y[:, None]).sum(axis=0) + 0.5 for s in said])
-            like.append(np.log(p / p.sum(axis=0)))
+            told.append(p / p.sum(axis=0))
+        for i, wrong in ((0, told[0][0] > told[1][0]), (2, told[0][2] < told[1][2])):
+            both = (told[0][i] + told[1][i]) / 2
+            told[0][i], told[1][i] = np.where(wrong, both, told[0][i]), np.where(wrong, both, told[1][i])
         centred = v - post[:, None] * ((v * post[:, None]).sum(axis=0) / post.sum()) - (1 - post)[:, None] * ((v * (1 - post)[:, None]).sum(axis=0) / (1 - post).sum())
         sd = np.sqrt((centred**2).mean(axis=0)) + 1e-9
         together = np.maximum((centred.T @ centred) / len(v) / np.outer(sd, sd), 0)
         np.fill_diagonal(together, 0)
         weight = 1 / (1 + together.sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + sum(s @ (weight * (like[0][i] - like[1][i])) for i, s in enumerate(said))
-        odds += np.where(label == 1, 1, -1) * np.log(trust / (1 - trust))
+        odds = np.log(prior / (1 - prior)) + sum(s @ (weight * np.log(told[0][i] / told[1][i])) for i, s in enumerate(said))
         post = np.clip(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 1e-4, 1 - 1e-4)
-    return post
+    lost = (first > 0.5).any() and not (post > 0.5).any()  # few rows may not carry the model
+    return first if lost else post, np.concatenate(told)
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -212,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
     every = np.frombuffer(b"".join(r for _, r in got), dtype=np.int32).reshape(len(got), -1)
     found, other = every[:, : len(terms)], every[:, len(terms) :]
     x = features(found, other)
-    w = fit_linear(x, label_model(votes(found, other), label))
+    w = fit_linear(x, label_model(votes(found, other))[0])
     return {"terms": terms, "lexicon": lexicon, "w": w, "cut": best_cut(x @ w, (label == 1).astype(int))}
 
 

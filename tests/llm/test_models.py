@@ -107,6 +107,18 @@ def test_gradients():
         assert abs(slope - got[k][at]) < 1e-4
 
 
+def test_label_model():
+    """Votes of known voters, one of them many times over: their odds are found without a label, and copies count about once."""
+    r = np.random.default_rng(3)
+    y = r.random(4000) < 0.3
+    right = [0.9, 0.8, 0.75, 0.7]
+    lone = [np.where(r.random(4000) < p, y, ~y) for p in right]
+    v = np.stack([np.where(x, 1, -1) for x in [*lone, *[lone[3]] * 6]], axis=1).astype(np.int8)
+    post, told = toxicity.label_model(v)
+    assert ((post > 0.5) == y).mean() > 0.86 > ((v.sum(axis=1) > 0) == y).mean()
+    assert all(abs(told[2, j] - p) < 0.1 and abs(told[3, j] - p) < 0.1 for j, p in enumerate(right[:3]))
+
+
 def labelled(spark, sf, run):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     return run(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -175,7 +187,7 @@ def leaks(spark):
     r = random.Random(8)
     vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst"]
     words = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(words(r.randrange(20, 70)))) for i in range(25)] + [(100, "short item of five"), (101, None), (None, "x y z"), (102, "")]
+    items = [(i, " ".join(words(r.randrange(20, 70)))) for i in range(25)] + [(100, "short item of five"), (103, "of five"), (101, None), (None, "x y z"), (102, "")]
     docs, want = [], {}
     for i in range(120):
         body, hit = words(r.randrange(60, 300)), None
@@ -215,7 +227,7 @@ def test_decontamination_of_paraphrases(spark):
     r = random.Random(21)
     vocabulary = [f"{a}{b}{c}{d}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst" for d in "aeiou"]
     words = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [(i, " ".join(words(n))) for i, n in enumerate([15, 16, 20, 20, 24, 30, 31, 40, 46, 47, 59, 90, 120] * 2)]
+    items = [(i, " ".join(words(n))) for i, n in enumerate([8, 11, 14, 15, 16, 20, 20, 24, 30, 31, 40, 46, 47, 59, 90, 120] * 2)]
     docs = []
     for i in range(200):
         part = items[i % len(items)][1].split(" ")
@@ -223,7 +235,7 @@ def test_decontamination_of_paraphrases(spark):
             k = r.randrange(len(part) if i % 2 else len(part) // 2)  # half of them in the first half only
             part[k : k + r.choice([0, 1, 1, 1, 1])] = words(r.choice([0, 1, 1, 1, 1]))
         docs.append((i, " ".join([*words(r.randrange(50)), *part, *words(r.randrange(50))])))
-    part = items[2][1].split(" ")
+    part = items[5][1].split(" ")
     part[:8:2] = words(4)
     docs.append((900, " ".join([*words(16), *part])))
     ids = {w: k for k, w in enumerate(vocabulary)}
@@ -235,7 +247,7 @@ def test_decontamination_of_paraphrases(spark):
             x = coded(item)
             if np.isin(x, t).mean() >= decontaminate.COMMON and any(decontaminate.confirmed(x, t[p : p + len(x) + 2 * (len(x) // 4)]) for p in range(len(t))):
                 want.add((d, i))
-    assert (900, 2) in want
+    assert (900, 5) in want
     found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(want) > 80 and {(x.doc_id, int(i)) for x in found for i in x.items.split(",") if i} == want
 
