@@ -69,4 +69,4 @@ QUERIES: dict[str, Query] = {
         op10_quality_bayes,
     )
 }
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": near_dedup.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
