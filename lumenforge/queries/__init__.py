@@ -29,4 +29,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import chat, geometry, layout, media, stats  # noqa: E402, F401
+from . import chat, geometry, layout, media, requests, stats  # noqa: E402, F401

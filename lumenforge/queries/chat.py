@@ -169,7 +169,9 @@ def unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", R.unknown_keys(text, "message").alias("unknown"))
 
 
-@query()
+@query(f"""
+SELECT {_IDS}, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS expanded
+FROM conversations GROUP BY conv_id""")
 def prepare_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-12: prompts of whole batches, all or nothing"""
     return Engine(spark).prepare_batch(_requests(spark, sf_dir, whole=False)).text.select("batch_id", "request_index", "expanded")

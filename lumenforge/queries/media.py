@@ -63,14 +63,6 @@ def data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", from_data_uri(uri).alias("f")).select("doc_id", "f.data", "f.error")
 
 
-@query("""SELECT doc_id, sha256(encode('lumenforge') || from_hex('00') || encode(text)) AS key, encode(text) AS payload FROM documents WHERE text IS NOT NULL""")
-def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMG-20, IMG-21: a digest of tag and content"""
-    rows = table(spark, sf_dir, "documents").where("text is not null")
-    data = F.encode("text", "UTF-8")
-    return rows.select("doc_id", F.sha2(F.concat(F.encode(F.lit("lumenforge"), "UTF-8"), F.unhex(F.lit("00")), data), 256).alias("key"), data.alias("payload"))
-
-
 @query()
 def png_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG-3 to IMG-19: made pictures are encoded, probed, decoded, resized and cut into patches, and put together again"""
