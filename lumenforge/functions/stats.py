@@ -95,6 +95,39 @@ def coverage(rows: DataFrame, by: list[str], tags: str, required: list[str]) ->
     return seen.withColumn("missing", F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.col("seen"))))
 
 
+def serving_medians(rows: DataFrame, by: list[str], mode: str, x: str, base: str = "official", new: str = "native") -> DataFrame:
+    """Median of each of two modes, a column each, and the change of the new one in percent of the other."""
+    middle = {m: F.expr(f"percentile(`{x}`, 0.5) FILTER (WHERE `{mode}` = '{m}')").alias(m) for m in (new, base)}
+    out = rows.groupBy(*by).agg(*middle.values())
+    return out.withColumn("change", (F.col(new) / F.col(base) - 1) * 100)
+
+
+def signature(rows: DataFrame, by: list[str], order: str, text: Column) -> DataFrame:
+    """SHA-256 of each group's texts, in order, by commas. Groups are the outputs of one case, which its limits bound."""
+    listed = rows.select(*by, F.struct(F.col(order).alias("k"), text.alias("t")).alias("_v")).groupBy(*by).agg(F.array_sort(F.collect_list("_v")).alias("_v"))
+    return listed.select(*by, F.sha2(F.array_join(F.transform("_v", lambda v: v["t"]), ","), 256).alias("signature"))
+
+
+def difference(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys that only one of two manifests has, or that have different values there."""
+    both = expected.select(key, F.col(value).alias("expected")).join(actual.select(key, F.col(value).alias("actual")), key, "full")
+    return both.where(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+#: Bounds of a release, on the lower bound of the speedup (of one request and of a batch), the ratio of text times, the efficiency on eight cores and the ratio of memory.
+GATES = {"speedup": 1.0, "batch_speedup": 2.0, "text_ratio": 1.05, "efficiency": 0.6, "memory_ratio": 0.5}
+
+
+def release_gates(rows: DataFrame, gates: dict[str, float] = GATES) -> DataFrame:
+    """Adds ``failed``, the names of the gates that a case doesn't pass; what wasn't measured (null) isn't judged.
+
+    rows: batch (boolean), speedup_low, text_ratio, efficiency, memory_ratio.
+    """
+    least = F.when(F.col("batch"), F.col("speedup_low") >= gates["batch_speedup"]).otherwise(F.col("speedup_low") > gates["speedup"])
+    passed = {"speedup": least, "text_ratio": F.col("text_ratio") <= gates["text_ratio"], "efficiency": F.col("efficiency") >= gates["efficiency"], "memory_ratio": F.col("memory_ratio") <= gates["memory_ratio"]}
+    return rows.withColumn("failed", F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in passed.items()))))
+
+
 def ulp_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many single-precision numbers apart."""
     x, y = (np.asarray(v, dtype=np.float32).view(np.int32).astype(np.int64) for v in (a, b))

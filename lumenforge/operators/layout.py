@@ -71,6 +71,28 @@ def pad(rows: DataFrame, token: Column, side: str = "right", image: Column | Non
     return out.withColumn("left_padding", left).withColumn("right_padding", right).drop("_gap")
 
 
+def text_ranges(text: DataFrame) -> DataFrame:
+    """Of each request: where its row's elements stand in the batch's flat text arrays (end exclusive). text: batch_id, request_index, input_ids, padded."""
+    row = F.row_number().over(Window.partitionBy("batch_id").orderBy("request_index")) - 1
+    width = F.size("input_ids").cast("long")
+    return text.select("batch_id", "request_index", (row * width).alias("element_start"), ((row + 1) * width).alias("element_end"))
+
+
+def token_ranges(starts: Column, total: Column, begin: Column, end: Column) -> Column:
+    """The tokens (first, end exclusive) that cover a range of bytes exactly; null if its edges fall inside tokens. starts: byte starts of all tokens; total: bytes of the text."""
+
+    def edge(at: Column) -> Column:
+        return F.when(at == total, F.size(starts)).otherwise(F.nullif(F.array_position(starts, at).cast("int"), F.lit(0)) - 1)
+
+    first, last = edge(begin.cast("long")), edge(end.cast("long"))
+    return F.when((begin < end) & first.isNotNull() & last.isNotNull(), F.struct(first.cast("int").alias("first"), last.cast("int").alias("end")))
+
+
+def decoded_once(uses: DataFrame, keys: list[str]) -> DataFrame:
+    """Each source and option set once, however often it is used; uses meet it again by ``keys``."""
+    return uses.select(*keys).distinct()
+
+
 def modality_ids(ids: Column, image: Column | None, video: Column | None) -> Column:
     """1 for image pads, 2 for video pads, 0 for all else."""
 

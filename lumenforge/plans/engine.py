@@ -7,6 +7,7 @@ row again, of batches that have no error: the bytes of pictures and frames are n
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lumenforge import scratch
 from lumenforge.functions import chat, geometry, media
 from lumenforge.functions.text import fmt_1dp_each
-from lumenforge.functions.tokens import tokenizer
+from lumenforge.functions.tokens import check_special, decoder, tokenizer
 from lumenforge.operators import layout, validate
 from lumenforge.shipping import ship
 
@@ -142,9 +143,10 @@ class Prepared:
     def errors(self) -> DataFrame:
         """The error of each failed batch that is told first."""
         rows = self.planned_requests.where("error is not null").select("batch_id", "error.stage", "error.category", F.lit(None).cast("long").alias("occurrence_index"), "error.message")
-        order = layout.offsets(self.occurrences)
+        early = layout.batch_errors(self.planned_requests, self.engine.limits)
+        order = layout.offsets(layout.without_failed(self.occurrences, early))  # so no more rows are ordered together than a batch may have
         late = order.where("media_error is not null").select("batch_id", F.lit(errors.STAGES.index("geometry")).alias("stage"), F.col("media_error").alias("category"), F.col("occurrence_index").cast("long"), F.lit("media").alias("message"))
-        every = rows.unionByName(late).unionByName(layout.batch_errors(self.planned_requests, self.engine.limits))
+        every = rows.unionByName(late).unionByName(early)
         if self.engine.tokenize is not None:
             spent = self.tokens.select("batch_id", F.size("token_ids").alias("token_count"), "media_bytes")
             every = every.unionByName(layout.token_errors(spent, self.engine.limits))
@@ -188,6 +190,23 @@ class Prepared:
         requests = layout.without_failed(self.planned_requests.select("batch_id", "request_index"), self.errors)
         return layout.request_ranges(requests, self.sidecar)
 
+    @cached_property
+    def text_ranges(self) -> DataFrame:
+        """Where each request's elements stand in its batch's flat text arrays."""
+        if self.engine.tokenize is None:
+            raise errors.ProfileMismatchError("ranges of text need a tokenizer")
+        return layout.text_ranges(self.text)
+
+    @cached_property
+    def token_spans(self) -> DataFrame:
+        """Of each replacement, in order: its modality and its tokens (null where its edges fall inside tokens)."""
+        if self.engine.tokenize is None:
+            raise errors.ProfileMismatchError("spans of tokens need a tokenizer")
+        rows = layout.without_failed(self.tokens, self.errors)
+        rows = rows.select("batch_id", "request_index", "token_starts", F.octet_length("expanded").cast("long").alias("_total"), F.posexplode("replacements").alias("nth", "_r"))
+        found = layout.token_ranges(F.col("token_starts"), F.col("_total"), F.col("_r.expanded_bytes.start"), F.col("_r.expanded_bytes.end"))
+        return rows.select("batch_id", "request_index", "nth", "_r.modality", found.alias("tokens"))
+
     @property
     def capacities(self) -> DataFrame:
         if self.engine.tokenize is None:
@@ -291,12 +310,31 @@ def first_size(frame: np.ndarray, sizes: tuple) -> tuple[int, int]:
 
 
 class Engine:
-    """Prepares requests under one set of limits. tokenizer_path: a ``tokenizer.json``; without it there are prompts and layouts only."""
+    """Prepares requests under one set of limits. tokenizer_path: a ``tokenizer.json``; without it there are prompts and layouts only.
+
+    ``special_tokens`` names a profile whose special texts must be single tokens with the profile's numbers.
+    """
 
-    def __init__(self, spark: SparkSession, limits: dict[str, int] | None = None, tokenizer_path: str | None = None, tokenizer_sha256: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, limits: dict[str, int] | None = None, tokenizer_path: str | None = None, tokenizer_sha256: str | None = None, special_tokens: str | None = None) -> None:
         self.spark = ship(spark)
         self.limits = lowered(limits)
         self.tokenize = tokenizer(tokenizer_path, tokenizer_sha256) if tokenizer_path else None
+        self.tokenizer_path = tokenizer_path
+        if tokenizer_path and special_tokens:
+            for one in PROFILES.values():
+                if one["thinking"] == (special_tokens == "thinking"):
+                    check_special(tokenizer_path, {chat.IMAGE_PAD: one["image_pad"], chat.VIDEO_PAD: one["video_pad"], chat.VISION_START: one["vision_start"], chat.VISION_END: one["vision_end"]})
+
+    @classmethod
+    def from_directory(cls, spark: SparkSession, path: str, **more: object) -> Engine:
+        """With the ``tokenizer.json`` of a folder."""
+        return cls(spark, tokenizer_path=os.path.join(path, "tokenizer.json"), **more)
+
+    def decode(self, ids: Column, skip_special: bool = False) -> Column:
+        """Text of lists of token ids."""
+        if self.tokenizer_path is None:
+            raise errors.ProfileMismatchError("decoding needs a tokenizer")
+        return decoder(self.tokenizer_path, skip_special)(ids)
 
     def profiles(self) -> DataFrame:
         return profiles_df(self.spark)

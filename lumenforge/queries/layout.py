@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenforge.operators import invariants
 from lumenforge.operators import layout as L
 from lumenforge.plans import errors
 from lumenforge.plans.limits import LIMITS
 from lumenforge.sources import requests as R
+from lumenforge.sources import sinks
 
 from . import query, table
 
@@ -48,15 +50,6 @@ def request_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.request_ranges(rows.select("batch_id", "request_index").distinct(), rows)
 
 
-@query(f"""WITH {_O} SELECT batch_id, {_PLACE}, modality, (row_number() OVER (PARTITION BY batch_id, request_index, modality ORDER BY message_index, content_item_index))::INT AS number FROM o""")
-def vision_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN-6: the numbers that the template gives images and videos, counted here in rows"""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("batch_id", "request_index", "modality").orderBy("message_index", "content_item_index"))
-    return _occurrences(spark, sf_dir).select("batch_id", "request_index", "message_index", "content_item_index", "modality", n.alias("number"))
-
-
 @query("""
 WITH t AS (SELECT conv_id // 8 AS batch_id, conv_id, turn, list_transform(range(strlen(text) % 40 + 1), lambda i: CASE WHEN (i + turn) % 9 = 0 THEN 7 WHEN (i + turn) % 13 = 0 THEN 8 ELSE 100 + i END) AS ids FROM conversations),
 w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) - len(ids) AS gap FROM t)
@@ -188,6 +181,84 @@ SELECT (SELECT count(*) FROM o) AS uses, (SELECT count(*) FROM u) AS decoded, (S
 def decode_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-6: equal sources with equal options are decoded once and joined back"""
     uses = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("source"), F.col("l_linenumber").alias("option_key"), "l_orderkey").distinct()
-    once = uses.dropDuplicates(["source", "option_key"]).select("source", "option_key")
+    once = L.decoded_once(uses, ["source", "option_key"])
     counts = [x.agg(F.count(F.lit(1)).alias(n)) for n, x in (("uses", uses), ("decoded", once), ("joined", uses.join(once, ["source", "option_key"])))]
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+
+
+_SPOILT = f"""{_O}, i AS (SELECT batch_id, {_PLACE}, modality, patch_rows, row_number() OVER (PARTITION BY batch_id ORDER BY {_PLACE}) - 1 AS occurrence_index, row_number() OVER (PARTITION BY batch_id, modality ORDER BY {_PLACE}) - 1 AS grid_row,
+  sum(patch_rows) OVER (PARTITION BY batch_id, modality ORDER BY {_PLACE} ROWS UNBOUNDED PRECEDING)::BIGINT AS pixel_end FROM o),
+s AS (SELECT batch_id, modality, CASE WHEN batch_id % 7 = 4 THEN -request_index ELSE request_index END AS request_index, occurrence_index + (batch_id % 7 = 5)::INT AS occurrence_index, CASE WHEN batch_id % 7 = 1 THEN 2 * grid_row ELSE grid_row END AS grid_row,
+  pixel_end - patch_rows AS pixel_start, pixel_end + (batch_id % 7 = 2)::INT AS pixel_end, patch_rows + (batch_id % 7 = 3)::INT AS patch_rows FROM i),
+x AS (SELECT *, lag(request_index) OVER e AS r0, lag(occurrence_index) OVER e AS o0, lag(grid_row) OVER k AS g0, lag(pixel_end) OVER k AS p0 FROM s WINDOW e AS (PARTITION BY batch_id ORDER BY occurrence_index), k AS (PARTITION BY batch_id, modality ORDER BY occurrence_index))"""
+
+
+@query(f"""WITH {_SPOILT} SELECT DISTINCT batch_id, rule FROM (SELECT batch_id, unnest([CASE WHEN request_index < r0 THEN 'request order' END, CASE WHEN occurrence_index <> coalesce(o0 + 1, 0) THEN 'occurrence index' END,
+  CASE WHEN grid_row <> coalesce(g0 + 1, 0) THEN 'grid row' END, CASE WHEN pixel_start <> coalesce(p0, 0) THEN 'pixel start' END, CASE WHEN pixel_end - pixel_start <> patch_rows THEN 'pixel range' END]) AS rule FROM x) WHERE rule IS NOT NULL""")
+def order_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-28, WIN-11, HAR-8: layouts, most of them spoilt in one way"""
+    k = F.col("batch_id") % 7
+    rows = L.offsets(_occurrences(spark, sf_dir))
+    more = {
+        "request_index": F.when(k == 4, -F.col("request_index")).otherwise(F.col("request_index")),
+        "occurrence_index": F.col("occurrence_index") + (k == 5).cast("int"),
+        "grid_row": F.when(k == 1, 2 * F.col("grid_row")).otherwise(F.col("grid_row")),
+        "pixel_end": F.col("pixel_end") + (k == 2).cast("int"),
+        "patch_rows": F.col("patch_rows") + (k == 3).cast("int"),
+    }
+    return invariants.order_errors(rows.withColumns(more)).select("batch_id", "rule")
+
+
+@query("""WITH o AS (SELECT o_orderkey // 20 AS batch_id, o_orderkey AS k FROM orders)
+SELECT DISTINCT batch_id, 'width' AS rule FROM o GROUP BY batch_id HAVING bool_or(k % 37 = 0) AND NOT bool_and(k % 37 = 0) UNION ALL SELECT DISTINCT batch_id, 'mask' FROM o WHERE k % 41 = 0
+UNION ALL SELECT DISTINCT batch_id, 'grid' FROM o WHERE k % 43 = 0 UNION ALL SELECT DISTINCT batch_id, 'placeholders' FROM o WHERE k % 47 = 0""")
+def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-27, AGG-4, HAR-8: arrays of uneven width, masks of other length, grids that don't merge, pads that aren't the placeholders"""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.floor(k / 20).alias("batch_id"), "o_orderkey")
+    wide = F.when(k % 37 == 0, 6).otherwise(5)
+    ids = F.array_repeat(F.lit(3).cast("long"), wide)
+    text = rows.select("batch_id", ids.alias("input_ids"), F.array_repeat(F.lit(1), wide + (k % 41 == 0).cast("int")).alias("attention_mask"), F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), wide - 1)).alias("mm_token_type_ids"))
+    high = F.when(k % 43 == 0, 3).otherwise(2)
+    made = rows.select("batch_id", F.lit("image").alias("modality"), F.lit(1).alias("grid_t"), high.alias("grid_h"), F.lit(2).alias("grid_w"), (2 * high).alias("patch_rows"), F.when(k % 47 == 0, 2).otherwise(1).alias("placeholder_count"))
+    return invariants.shape_errors(text, made).select("batch_id", "rule")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 6 AS c FROM part) SELECT id, CASE c WHEN 0 THEN 'fingerprint' WHEN 1 THEN 'frames' WHEN 2 THEN 'merge' WHEN 3 THEN 'size' ELSE 'bytes' END AS rule FROM p WHERE c < 5""")
+def prepared_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-9: pictures that were prepared elsewhere, most of them with one fault"""
+    c = F.col("p_partkey") % 6
+    grid = {"grid_t": F.when(c == 1, 2).otherwise(1), "grid_h": F.when(c == 2, 3).when(c == 3, 2).otherwise(4), "grid_w": F.when(c == 3, 2).otherwise(4)}
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(c == 0, "other").otherwise("mine").alias("fingerprint"), *(v.alias(x) for x, v in grid.items()), c.alias("c"))
+    size = F.col("grid_t") * F.col("grid_h") * F.col("grid_w") * 6144 - (F.col("c") == 4).cast("int")
+    rows = rows.withColumn("patches", F.encode(F.repeat(F.lit("x"), size), "UTF-8"))
+    return invariants.prepared_errors(rows, "mine")
+
+
+@query(f"""WITH {_O} SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY {_PLACE}) - 1 AS occurrence_index, modality, patch_rows AS "rows", sum(patch_rows) OVER w::BIGINT - patch_rows AS pixel_start, sum(patch_rows) OVER w::BIGINT AS pixel_end
+FROM o WINDOW w AS (PARTITION BY batch_id, modality ORDER BY {_PLACE} ROWS UNBOUNDED PRECEDING)""")
+def server_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-8"""
+    rows = L.offsets(_occurrences(spark, sf_dir)).withColumns({"grid_t": F.lit(1), "grid_h": F.lit(2), "grid_w": F.col("patch_rows") / 2})
+    return sinks.flat_fields(rows).withColumn("rows", F.col("rows").cast("long"))
+
+
+@query("""WITH t AS (SELECT conv_id // 8 AS batch_id, conv_id % 8 AS r, sum(turn) AS n FROM conversations GROUP BY ALL), w AS (SELECT *, max(n) OVER (PARTITION BY batch_id)::BIGINT + 1 AS width, row_number() OVER (PARTITION BY batch_id ORDER BY r) - 1 AS k FROM t)
+SELECT batch_id, r::INT AS request_index, k * width AS element_start, (k + 1) * width AS element_end FROM w""")
+def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-5"""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.floor(F.col("conv_id") / 8).alias("batch_id"), (F.col("conv_id") % 8).cast("int").alias("request_index")).agg(F.sum("turn").alias("n"))
+    rows = rows.withColumn("token_ids", F.array_repeat(F.lit(1).cast("long"), (F.col("n") + 1).cast("int")))
+    return L.text_ranges(L.pad(rows, F.lit(0).cast("long")))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, strlen(text) AS total, conv_id % 11 AS a, conv_id % 11 + turn * 3 AS b FROM conversations),
+e AS (SELECT *, (total + 2) // 3 AS n, CASE WHEN a = total THEN (total + 2) // 3 WHEN a % 3 = 0 AND a < total THEN a // 3 END AS x, CASE WHEN b = total THEN (total + 2) // 3 WHEN b % 3 = 0 AND b < total THEN b // 3 END AS y FROM t)
+SELECT conv_id, turn, CASE WHEN a < b AND x IS NOT NULL AND y IS NOT NULL THEN x END::INT AS first, CASE WHEN a < b AND x IS NOT NULL AND y IS NOT NULL THEN y END::INT AS "end" FROM e""")
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TXT-25, JOIN-7: byte ranges over tokens of three bytes"""
+    total = F.octet_length("text").cast("long")
+    starts = F.when(total > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / 3)), lambda i: i * 3)).otherwise(F.array().cast("array<long>"))
+    a = F.col("conv_id") % 11
+    found = L.token_ranges(starts, total, a, a + F.col("turn") * 3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("s")).select("conv_id", "turn", "s.first", "s.end")

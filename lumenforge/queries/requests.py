@@ -17,6 +17,7 @@ from lumenforge.plans import schema
 from lumenforge.plans.engine import TAG, Engine, probe_image
 from lumenforge.plans.profiles import fingerprint
 from lumenforge.sources import requests as R
+from lumenforge.sources.media import file_url_path, from_data_uri
 
 from . import query, table
 
@@ -291,3 +292,36 @@ def _encoded_key(data: pd.Series) -> pd.Series:
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG-20: keys of encoded media, texts standing for their bytes"""
     return table(spark, sf_dir, "documents").select("doc_id", _encoded_key(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("key"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/srv/a b/' || page_id || '.png' WHEN 1 THEN '//share/x/' || page_id WHEN 2 THEN '/é/' || page_id END AS path FROM pages""")
+def file_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-5: escapes, hosts, and what is no file URL"""
+    k, n = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("file:///srv/a%20b/"), n, F.lit(".png"))).when(k == 1, F.concat(F.lit("FILE://share/x/"), n)).when(k == 2, F.concat(F.lit("file://localhost/%C3%A9/"), n)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", file_url_path(url).alias("path"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN encode(event_type || ' ' || event_id) WHEN 1 THEN encode(event_type) END AS data,
+  CASE WHEN event_id % 6 IN (2, 4) THEN 'unsupported_media' WHEN event_id % 6 IN (3, 5) THEN 'media_decode' END AS error FROM events""")
+def data_uri_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7: percent signs, white space within base64, and what is no image, no URI or no base64"""
+    k, kind = F.col("event_id") % 6, F.col("event_type")
+    base = F.base64(F.encode(kind, "UTF-8"))
+    spaced = F.concat(F.lit("DATA:image/png;base64,"), F.substring(base, 1, 3), F.lit(" \n"), F.expr("substring(b, 4)"))
+    uri = F.when(k == 0, F.concat(F.lit("data:image/png,"), kind, F.lit("%20"), F.col("event_id").cast("string"))).when(k == 1, spaced)
+    uri = uri.when(k == 2, F.concat(F.lit("data:text/plain;base64,"), base)).when(k == 3, F.concat(F.lit("data:image/png;base64,"), base, F.lit("="))).when(k == 4, "data:image/png;base64").otherwise("data:image/png;base64,a*b=")
+    rows = table(spark, sf_dir, "events").withColumn("b", base).withColumn("uri", uri)
+    return rows.select("event_id", from_data_uri(F.col("uri")).alias("f")).select("event_id", "f.data", "f.error")
+
+
+@query(f"""
+WITH t(k, category) AS (VALUES {", ".join(f"({k}, {_quoted(c)})" for k, (_, _, c, _) in enumerate(CASES))})
+SELECT s_suppkey AS batch_id, category FROM supplier JOIN t ON s_suppkey % {len(CASES)} = k WHERE category IS NOT NULL""")
+def prepare_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-12, ERR-1 to ERR-4: the engine's error of each batch, where every supplier sends a batch of two requests, the second with a fault"""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % len(CASES)).alias("batch_id")).join(F.broadcast(_cases(spark)), "batch_id").drop("batch_id")
+    bad = rows.select(F.col("s_suppkey").cast("long").alias("batch_id"), F.lit(1).alias("request_index"), "profile", "messages", "images", "videos", "options")
+    good = rows.crossJoin(F.broadcast(_cases(spark).where("batch_id = 0").select(F.col("messages").alias("m"), F.col("options").alias("o"))))  # one row
+    good = good.select(F.col("s_suppkey").cast("long").alias("batch_id"), F.lit(0).alias("request_index"), F.lit("vl").alias("profile"), F.col("m").alias("messages"), F.lit(None).cast(f"array<{schema.IMAGE}>").alias("images"), F.lit(None).cast(f"array<{schema.VIDEO}>").alias("videos"), F.col("o").alias("options"))
+    return Engine(spark).prepare_batch(good.unionByName(bad)).errors.select("batch_id", "category")

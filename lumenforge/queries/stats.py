@@ -116,17 +116,15 @@ SELECT kind, state, round(median(ms) FILTER (WHERE lane = 0), 6) AS native, roun
 def serving_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-21"""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("state"), F.when(F.col("o_custkey") % 2 == 0, "native").otherwise("official").alias("mode"), "o_totalprice")
-    wide = rows.groupBy("kind", "state").pivot("mode", ["native", "official"]).agg(F.percentile("o_totalprice", 0.5))
-    return _rounded(wide.withColumn("change", (F.col("native") / F.col("official") - 1) * 100), "native", "official", "change")
+    return _rounded(S.serving_medians(rows, ["kind", "state"], "mode", "o_totalprice"), "native", "official", "change")
 
 
 @query("SELECT label, sha256(string_agg(vec_id || ':' || round(embedding[1] * 1000)::BIGINT, ',' ORDER BY vec_id)) AS signature FROM embeddings GROUP BY label")
 def output_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-23"""
     first = F.round(F.col("embedding")[0] * 1000).cast("long")
-    rows = table(spark, sf_dir, "embeddings").select("label", F.struct("vec_id", F.concat_ws(":", F.col("vec_id").cast("string"), first.cast("string")).alias("t")).alias("v"))
-    parts = rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["t"]), ",").alias("s"))
-    return parts.select("label", F.sha2("s", 256).alias("signature"))
+    text = F.concat_ws(":", F.col("vec_id").cast("string"), first.cast("string"))
+    return S.signature(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", text)
 
 
 @query("""WITH a AS (SELECT vec_id AS id, label FROM embeddings), b AS (SELECT vec_id AS id, CASE WHEN vec_id % 50 = 7 THEN label + 1 ELSE label END AS label FROM embeddings WHERE vec_id % 60 != 3)
@@ -134,9 +132,17 @@ SELECT coalesce(a.id, b.id) AS id, a.label AS expected, b.label AS actual FROM a
 def manifest_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN-8, SET-5, HAR-3"""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    other = rows.where(F.col("id") % 60 != 3).select("id", F.when(F.col("id") % 50 == 7, F.col("label") + 1).otherwise(F.col("label")).alias("actual"))
-    both = rows.withColumnRenamed("label", "expected").join(other, "id", "full")
-    return both.where(~F.col("expected").eqNullSafe(F.col("actual")))
+    other = rows.where(F.col("id") % 60 != 3).withColumn("label", F.when(F.col("id") % 50 == 7, F.col("label") + 1).otherwise(F.col("label")))
+    return S.difference(rows, other, "id", "label")
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS batch, (o_custkey % 40) / 16.0::DOUBLE AS s, CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey % 33) / 16.0::DOUBLE END AS t, (o_orderkey % 17) / 16.0::DOUBLE AS e, (o_orderkey % 13) / 16.0::DOUBLE AS m FROM orders)
+SELECT o_orderkey, list_filter([CASE WHEN NOT CASE WHEN batch THEN s >= 2 ELSE s > 1 END THEN 'speedup' END, CASE WHEN t > 1.05 THEN 'text_ratio' END, CASE WHEN e < 0.6 THEN 'efficiency' END, CASE WHEN m > 0.5 THEN 'memory_ratio' END], lambda x: x IS NOT NULL) AS failed FROM c""")
+def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-17, HAR-14"""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (k % 2 == 0).alias("batch"), (c % 40 / 16).alias("speedup_low"), F.when(k % 7 != 0, c % 33 / 16).alias("text_ratio"), (k % 17 / 16).alias("efficiency"), (k % 13 / 16).alias("memory_ratio"))
+    return S.release_gates(rows).select("o_orderkey", "failed")
 
 
 @query()
