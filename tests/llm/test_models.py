@@ -79,6 +79,7 @@ def test_whole_candidates_are_read():
         path = "".join("stone/" for _ in range(n // 6))
         text = "é see " + path + key + " there"
         assert any(a <= text.index(key) + 12 <= b and k == 3 for a, b, k in found(text)), n
+    assert found("no key here") == found("") == []
     lone = [(a, b) for a, b, k in found("ß " * 30 + key + " ß") if k == 3]
     assert lone == [(60, 60 + len(key))]
 
