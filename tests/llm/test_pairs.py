@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -142,35 +142,54 @@ def common(x, y):
     return row[-1]
 
 
-@pytest.mark.parametrize("bucket", [3, 2048])
+def prints(texts, known):
+    """SimHash and keys of normalised lines."""
+    ends = np.cumsum([len(x.encode()) + 1 for x in texts]) - 1
+    starts = ends - [len(x.encode()) for x in texts]
+    words, n = lines.line_words(np.frombuffer("\n".join(texts).encode(), np.uint8), starts, ends)
+    keys, many = lines.block_keys(words, n, known.common)
+    sims, shape = lines.simhashes(words, n, known.mean), np.array([len(x) for x in texts]) << 32 | n
+    return lambda i: lines.within_reach(sims, shape, i), [set(x.tolist()) for x in np.split(keys, np.cumsum(many)[:-1])]
+
+
+@pytest.mark.parametrize("bucket", [3, 4096])
 def test_fuzzy_lines(spark, bucket):
     r = random.Random(4)
-    pool = [" ".join(f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(r.randrange(3, 60))) for _ in range(14)]
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    pool = [" ".join(r.choice(words) for _ in range(r.randrange(5, 60))) for _ in range(14)]
     rows = [(100, None), (101, ""), (102, "short\n\nshort")]
     for i in range(40):
         some = []
         for _ in range(r.randrange(1, 5)):
             x = list(r.choice(pool))
-            for _ in range(r.choice([0, 0, 1, 2, 5])):
+            for _ in range(r.choice([0, 0, 1, 2, 3])):
                 x[r.randrange(len(x))] = r.choice("xyz ")
             some.append("".join(x) if r.random() < 0.8 else "".join(x).upper() + " !")
         rows.append((i, "\n".join(some)))
     rows += [rows[-1], (None, pool[0]), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    mean = lines.mean_votes(docs)
+    known = lines.statistics(docs)
     places = [(d is None, d or 0, no, x) for d, t in rows for no, x in enumerate(plain_lines(t)) if len(x) >= 20]
     texts = sorted({x for *_, x in places})
-    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    ends = np.cumsum([len(x.encode()) + 1 for x in texts]) - 1
-    starts = ends - [len(x.encode()) for x in texts]
-    both = np.stack(lines._both(data, starts, ends, mean), axis=1)
+    reach, blocks = prints(texts, known)
+
+    def near(i, j):
+        return 2 * common(texts[i], texts[j]) >= 0.9 * (len(texts[i]) + len(texts[j]))
 
     def linked(i, j):
-        bits = min(int(a ^ b).bit_count() for a in both[i].tolist() for b in both[j].tolist())
-        return bits <= lines.FLIPS and 2 * common(texts[i], texts[j]) >= 0.9 * (len(texts[i]) + len(texts[j]))
+        return reach(i)[j] and not blocks[i].isdisjoint(blocks[j]) and near(i, j)
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]
+    assert np.mean([linked(i, j) for i, j in pairs]) > 0.85
+    if bucket == 3:  # blocks of single windows are cut by second ones, which most near lines share too
+        pairs_of = lambda x: {frozenset((p, q)) for p in x for q in x if p != q or len(x) == 1}
+        many = Counter(k for x in blocks for k in x)
+        blocks = [{k for k in x if many[k] <= 3} | {p for p in pairs_of(x) if any(many[k] > 3 for k in p)} for x in blocks]
+        assert np.mean([linked(i, j) for i, j in pairs]) > 0.8
 
     root = dict(zip(texts, components(len(texts), linked), strict=True))
     assert len(set(root.values())) < len(texts)
+    assert np.mean([root[texts[i]] == root[texts[j]] for i, j in pairs]) > (0.98 if bucket > 3 else 0.95)
     first = {}
     for p in sorted(places):
         first.setdefault(root[p[3]], p[:3])
@@ -191,23 +210,36 @@ def test_short_lines(spark, tmp_path):
     assert got == [(1, 4, ""), (2, 4, "0,3"), (3, 4, "0,1"), (4, 0, ""), (4, 0, "")]
 
 
-def test_pieces_of_long_lines():
-    """Every piece of a line counts, and lines with one letter changed mostly stay within reach."""
-    r = random.Random(14)
-    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(800)]
-    texts = [" ".join(r.choice(words) for _ in range(90)) for _ in range(400)]
-    changed = [x[:k] + "q" + x[k + 1 :] for x in texts for k in [r.randrange(len(x))]]
-
-    def arrays(some):
-        ends = np.cumsum([len(x) + 1 for x in some]) - 1
-        return np.frombuffer("\n".join(some).encode(), np.uint8), ends - [len(x) for x in some], ends
-
-    m, starts, ends = arrays(texts)
-    piece, n = lines._chosen(m, starts, ends, 1)
-    assert (n == ends - starts - lines.FAMILIES[1][0] + 1).all()
-    mean = np.tile(np.bincount(piece, minlength=1 << 16) @ lines._BITS.astype(float) / len(piece), (2, 1))
-    mine, other = (np.stack(lines._both(*arrays(x), mean), axis=1) for x in (texts, changed))
-    assert (np.bitwise_count(mine ^ other).min(axis=1) <= lines.FLIPS).mean() > 0.65
+@pytest.mark.parametrize("n_words", [4, 6, 10, 16, 25, 29, 60, 200])
+def test_recall_of_changed_lines(n_words):
+    """Lines of every length with a letter, a word or three words changed, as long as they stay similar enough, mostly share a block and are within reach."""
+    r = random.Random(n_words)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(n_words)) for _ in range(300)]
+    known = lines.Statistics(np.full(64, 0.5), np.zeros(1 << 16, dtype=bool))
+    for kind in ("letter", "word", "words", "added"):
+        changed = []
+        for x in texts:
+            w = x.split(" ")
+            for _ in range(3 if kind == "words" else 1):
+                k = r.randrange(n_words)
+                w[k] = w[k][:-1] + "q" if kind == "letter" else r.choice(words) + (" " + w[k] if kind == "added" else "")
+            changed.append(" ".join(w))
+        reach, keys = prints(texts + changed, known)
+        similar = [lines.similarity(np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8)) >= 0.9 for x, y in zip(texts, changed, strict=True)]
+        found = [reach(i)[i + 300] and bool(keys[i] & keys[i + 300]) for i in range(300)]
+        if sum(similar) >= 30:
+            assert np.mean([f for f, s in zip(found, similar, strict=True) if s]) >= 0.95, (kind, n_words)
+
+
+def test_texts_without_spaces():
+    """Changes move cuts near them only."""
+    r = random.Random(1)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(60)) for _ in range(200)]
+    changed = [x[:k] + "国" + x[k + 1 :] for x in texts for k in [r.randrange(60)]]
+    known = lines.Statistics(np.full(64, 0.5), np.zeros(1 << 16, dtype=bool))
+    reach, keys = prints(texts + changed, known)
+    assert np.mean([reach(i)[i + 200] and bool(keys[i] & keys[i + 200]) for i in range(200)]) > 0.95
 
 
 @pytest.mark.parametrize("run", [near_dedup.near_dedup, exact_dedup.exact_dedup, lines.fuzzy_lines])
