@@ -149,7 +149,7 @@ def prints(texts, known):
     words, n = lines.line_words(np.frombuffer("\n".join(texts).encode(), np.uint8), starts, ends)
     keys, many = lines.block_keys(words, n, known.common)
     sims, shape = lines.simhashes(words, n, known.mean), np.array([len(x) for x in texts]) << 32 | n
-    return lambda i: lines.within_reach(sims, shape, i), [set(x.tolist()) for x in np.split(keys, np.cumsum(many)[:-1])]
+    return lambda i: lines.within_reach(sims, sims[i], shape, shape[i]), [set(x.tolist()) for x in np.split(keys, np.cumsum(many)[:-1])]
 
 
 @pytest.mark.parametrize("bucket", [3, 4096])
@@ -196,7 +196,10 @@ def test_fuzzy_lines(spark, bucket):
     want = sorted((d is None, d or 0, len(plain_lines(t)), ",".join(str(no) for no, x in enumerate(plain_lines(t)) if len(x) >= 20 and first[root[x]] != (d is None, d or 0, no))) for d, t in rows)
     found = lines.fuzzy_lines(docs, bucket=bucket)
     got = sorted((g.doc_id is None, g.doc_id or 0, g.n_lines, g.dropped) for g in found.collect())
-    assert got == want
+    drops = lambda rows: Counter((u, d, no) for u, d, _, x in rows for no in x.split(",") if no)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    # Two lines apart from their centre may be near each other and not be compared: groups can be finer, never coarser.
+    assert not drops(got) - drops(want) and drops(got).total() >= 0.97 * drops(want).total()
     kept = {x.doc_id: x.text for x in lines.drop_lines(docs, found).collect()}
     assert kept[102] == "short\n\nshort" and kept[100] is None
 
@@ -232,6 +235,19 @@ def test_recall_of_changed_lines(n_words):
             assert np.mean([f for f, s in zip(found, similar, strict=True) if s]) >= 0.95, (kind, n_words)
 
 
+def test_letters_bound_the_similarity():
+    """No pair that is similar is ruled out."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdé 0国") for _ in range(r.randrange(20, 60))) for _ in range(60)]
+    texts += ["".join(c if r.random() < 0.95 else r.choice("ab") for c in x) for x in texts]
+    ends = np.cumsum([len(x.encode()) + 1 for x in texts]) - 1
+    found = lines.letters(np.frombuffer("\n".join(texts).encode(), np.uint8), ends - [len(x.encode()) for x in texts], ends).astype(int)
+    for i, x in enumerate(texts):
+        assert found[i].sum() == len(x)
+        for j, y in enumerate(texts[:i]):
+            assert np.abs(found[i] - found[j]).sum() <= len(x) + len(y) - 2 * common(x, y)
+
+
 def test_texts_without_spaces():
     """Changes move cuts near them only."""
     r = random.Random(1)
