@@ -1,7 +1,7 @@
 """Tables that cut lineage, kept in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder. Only where it is unset (tests, a laptop) a
-folder in the system's temporary directory is used, so on a cluster nothing is ever
+``spark.checkpoint.dir`` names that folder. Only where it is unset and the master is local (tests, a laptop) a
+folder in the system's temporary directory is used; on a cluster that is an error, so nothing is ever
 written to a machine's own disk. A lost executor loses none of these files.
 """
 
@@ -21,6 +21,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
