@@ -89,6 +89,12 @@ _KERNEL = pa.schema([("n_nationkey", pa.int32()), ("height", pa.int64()), ("widt
 def picture_requests(spark: SparkSession, sf_dir: str, per_batch: int = 8) -> DataFrame:
     """Requests with one RGB picture and one text each, from suppliers: sides of 64 to 463."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", (64 + F.col("s_suppkey") * 7 % 400).cast("int").alias("h"), (64 + F.col("s_suppkey") * 13 % 400).cast("int").alias("w"))
+    return pictured(rows, per_batch)
+
+
+def pictured(rows: DataFrame, per_batch: int = 8) -> DataFrame:
+    """Requests with a made picture of each row's size. rows: s_suppkey, h, w; spread over all cores before pictures are made."""
+    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "s_suppkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
