@@ -204,6 +204,38 @@ def test_fuzzy_lines(spark, bucket):
     assert kept[102] == "short\n\nshort" and kept[100] is None
 
 
+def test_large_blocks_lose_no_pair(spark):
+    """Lines that share one window only, in a block larger than a bucket: each two that may be similar meet in a group."""
+    r = random.Random(6)
+    n = 150
+    kinds = np.array([[r.randrange(0, 3) for _ in range(16)] for _ in range(n)], dtype=np.uint8)
+    sims = np.array([sum(1 << b for b in r.sample(range(64), 9)) for _ in range(n)], dtype=np.uint64)  # no two are more than 18 bits apart
+    shape = np.full(n, (100 << 32) | 5)
+    low, high = kinds.view(np.int64).T
+    rows = [(i, int(sims[i].view(np.int64)), int(shape[i]), int(low[i]), int(high[i]), [7, 1000 + i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, sim long, shape long, low long, high long, keys array<long>").repartition(3)
+    want = {(i, j) for i in range(n) for j in range(i) if np.abs(kinds[i].astype(int) - kinds[j]).sum() <= 20}
+    assert 1000 < len(want)
+    for bucket in (16, 64, 4096):
+        groups = defaultdict(set)
+        for x in lines.close_lines(df, bucket=bucket).collect():
+            groups[x.centre] |= {x.centre, x.id}
+        assert want <= {(i, j) for g in groups.values() for i in g for j in g}, bucket
+
+
+def test_bounds_of_similarity():
+    """The bounds decide as the longest common subsequence does."""
+    r = random.Random(8)
+    for _ in range(400):
+        x = "".join(r.choice("abcde fgé国") for _ in range(r.randrange(20, 90)))
+        y = list(x)
+        for _ in range(r.randrange(0, 9)):
+            y.insert(r.randrange(len(y)), r.choice("abc xyz")) if r.random() < 0.5 else y.pop(r.randrange(len(y)))
+        y = "".join(y)
+        assert lines.similar_texts(x, y, 0.9) == (2 * common(x, y) / (len(x) + len(y)) >= 0.9)
+        assert lines._lost(x, y, 1000) >= len(x) + len(y) - 2 * common(x, y)
+
+
 def test_short_lines(spark, tmp_path):
     """The query drops repeats of short lines; empty lines stay."""
     long = "a line that is long enough to be compared nearly"
