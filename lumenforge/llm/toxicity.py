@@ -17,6 +17,7 @@ doc_id are no inputs of a score.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .textscan import chunks, mix64, pieces, runs
 
 #: The most labelled rows that are learned from, and the most terms.
 SAMPLE, TERMS = 12_000, 256
+#: Rows that the driver looks at together.
+BLOCK = 1024
 CUT = 0.7
 LEXICON = (
     "idiot idiots moron morons stupid trash pathetic worthless disgusting clown clowns scum loser losers dumb imbecile bastard vermin "
@@ -110,32 +113,45 @@ def votes(found: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.concatenate([found > 0, np.stack(yes, axis=1), -np.stack(no, axis=1).astype(np.int8)], axis=1).astype(np.int8)
 
 
+def _blocks(n: int) -> list[tuple[int, int]]:
+    return [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+
+
+def _alike(v: np.ndarray, post: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Correlations of the voters around ``ones`` and ``zeros``, their means under either label, weighed by ``post``."""
+    together = np.zeros((v.shape[1],) * 2)
+    for a, b in _blocks(len(v)):
+        centred = v[a:b] - np.outer(post[a:b], ones) - np.outer(1 - post[a:b], zeros)
+        together += centred.T @ centred
+    together /= len(v)
+    sd = np.sqrt(np.diag(together)) + 1e-9
+    return together / np.outer(sd, sd)
+
+
 def label_model(v: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the hidden label of each row, and of each voter: odds to vote -1, 0 and 1 under label 1, then under label 0.
 
-    Label 1 is taken to hold for at most half of the rows, and no voter to be worse than chance.
+    Label 1 is taken to hold for at most half of the rows, and no voter to be worse than chance. Beside the votes no more than ``BLOCK`` rows are held at a time.
     """
-    whole = v - v.mean(axis=0)
-    sd = np.sqrt((whole**2).mean(axis=0)) + 1e-9
-    alike = ((whole.T @ whole) / len(v) / np.outer(sd, sd)) ** 2  # about 1 for voters that say the same
-    post = first = np.clip(1 / (1 + np.exp(-3 * (v @ (1 / np.maximum(alike.sum(axis=1), 1))))), 0.02, 0.98)
-    said = [(v == x).astype(float) for x in (-1, 0, 1)]
+    mean, n = v.mean(axis=0), len(v)
+    alike = _alike(v, np.zeros(n), mean, mean) ** 2  # about 1 for voters that say the same
+    alone = 1 / np.maximum(alike.sum(axis=1), 1)
+    post = first = np.clip(1 / (1 + np.exp(-3 * np.concatenate([v[a:b] @ alone for a, b in _blocks(n)]))), 0.02, 0.98)
     for _ in range(rounds):
         prior = np.clip(post.mean(), 0.01, 0.5)
-        told = []
-        for y in (post, 1 - post):
-            p = np.stack([(s * y[:, None]).sum(axis=0) + 0.5 for s in said])
-            told.append(p / p.sum(axis=0))
+        both = np.stack([post, 1 - post])
+        said = sum(np.stack([both[:, a:b] @ (v[a:b] == x) for x in (-1, 0, 1)], axis=1) for a, b in _blocks(n))
+        told = [(p + 0.5) / (p + 0.5).sum(axis=0) for p in said]
         for i, wrong in ((0, told[0][0] > told[1][0]), (2, told[0][2] < told[1][2])):
-            both = (told[0][i] + told[1][i]) / 2
-            told[0][i], told[1][i] = np.where(wrong, both, told[0][i]), np.where(wrong, both, told[1][i])
-        centred = v - post[:, None] * ((v * post[:, None]).sum(axis=0) / post.sum()) - (1 - post)[:, None] * ((v * (1 - post)[:, None]).sum(axis=0) / (1 - post).sum())
-        sd = np.sqrt((centred**2).mean(axis=0)) + 1e-9
-        together = np.maximum((centred.T @ centred) / len(v) / np.outer(sd, sd), 0)
+            half = (told[0][i] + told[1][i]) / 2
+            told[0][i], told[1][i] = np.where(wrong, half, told[0][i]), np.where(wrong, half, told[1][i])
+        ones, zeros = (said[:, 2] - said[:, 0]) / both.sum(axis=1)[:, None]
+        together = np.maximum(_alike(v, post, ones, zeros), 0)
         np.fill_diagonal(together, 0)
         weight = 1 / (1 + together.sum(axis=1))
-        odds = np.log(prior / (1 - prior)) + sum(s @ (weight * np.log(told[0][i] / told[1][i])) for i, s in enumerate(said))
-        post = np.clip(1 / (1 + np.exp(-np.clip(odds, -30, 30))), 1e-4, 1 - 1e-4)
+        speaks = [weight * np.log(told[0][i] / told[1][i]) for i in range(3)]
+        odds = np.concatenate([sum((v[a:b] == x) @ k for x, k in zip((-1, 0, 1), speaks, strict=True)) for a, b in _blocks(n)])
+        post = np.clip(1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + odds, -30, 30))), 1e-4, 1 - 1e-4)
     lost = (first > 0.5).any() and not (post > 0.5).any()  # few rows may not carry the model
     return first if lost else post, np.concatenate(told)
 
@@ -223,17 +239,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, found, other in counts(batch.column("text"), terms, lexicon):
-                raw = [x.tobytes() for x in np.concatenate([found, other], axis=1).astype(np.int32)]
+                raw = [zlib.compress(x.tobytes(), 1) for x in np.concatenate([found, other], axis=1).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(raw, pa.binary())], ["toxic", "raw"])
 
-    got = rows.mapInArrow(run, "toxic int, raw binary").collect()
-    got = sorted(((r["toxic"], bytes(r["raw"])) for r in got))
+    got = [(r["toxic"], bytes(r["raw"])) for r in rows.mapInArrow(run, "toxic int, raw binary").collect()]
+    w, cut = learn(got, len(terms))
+    return {"terms": terms, "lexicon": lexicon, "w": w, "cut": cut}
+
+
+def learn(got: list[tuple[int, bytes]], n_terms: int) -> tuple[np.ndarray, float]:
+    """Weights and cut, from each learning row's label and its counts as deflated 32-bit integers."""
+    got = sorted((t, zlib.decompress(r)) for t, r in got)
     label = np.array([t for t, _ in got])
     every = np.frombuffer(b"".join(r for _, r in got), dtype=np.int32).reshape(len(got), -1)
-    found, other = every[:, : len(terms)], every[:, len(terms) :]
-    x = features(found, other)
-    w = fit_linear(x, label_model(votes(found, other))[0])
-    return {"terms": terms, "lexicon": lexicon, "w": w, "cut": best_cut(x @ w, (label == 1).astype(int))}
+    del got
+    found, other = every[:, :n_terms], every[:, n_terms:]
+    parts = _blocks(len(every))
+    x = np.empty((len(every), features(found[:1], other[:1]).shape[1]))
+    for a, b in parts:
+        x[a:b] = features(found[a:b], other[a:b])
+    w = fit_linear(x, label_model(np.concatenate([votes(found[a:b], other[a:b]) for a, b in parts]))[0])
+    return w, best_cut(x @ w, (label == 1).astype(int))
 
 
 def score(docs: DataFrame, model: dict, by: tuple[str, ...] = (), name: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -120,6 +121,19 @@ def test_label_model():
     assert all(abs(told[2, j] - p) < 0.1 and abs(told[3, j] - p) < 0.1 for j, p in enumerate(right[:3]))
 
 
+def test_label_model_memory():
+    """12,000 rows with as many voters as there may be: the driver holds no float of each vote."""
+    r = np.random.default_rng(4)
+    y = r.random((toxicity.SAMPLE, 1)) < 0.3
+    v = np.where(r.random((len(y), toxicity.TERMS + 20)) < np.where(y, 0.2, 0.02), 1, 0).astype(np.int8)
+    tracemalloc.start()
+    post, _ = toxicity.label_model(v, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ((post > 0.5) == y[:, 0]).mean() > 0.99
+    assert most < 8 * v.size
+
+
 def labelled(spark, sf, run):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     return run(docs, labels).join(labels, "doc_id").where("held_out").collect()
