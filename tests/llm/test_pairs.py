@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 
-from lumenforge.llm import exact_dedup, lines, near_dedup, tiles
+from lumenforge.llm import exact_dedup, lines, near_dedup, textscan, tiles
 from lumenforge.llm.common import read
 from lumenforge.llm.minhash import superminhash
 from lumenforge.llm.queries import ORACLES, QUERIES
@@ -236,6 +237,24 @@ def test_bounds_of_similarity():
         assert lines._lost(x, y, 1000) >= len(x) + len(y) - 2 * common(x, y)
 
 
+def test_unlike_lines_stop_early():
+    """The longest common subsequence goes no further than it takes to see that it is too short, and its bound is one."""
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        x, y = r.integers(0, 3, r.integers(1, 120)), r.integers(0, 3, r.integers(1, 120))
+        real = textscan.common_length(x, y)
+        for least in (0, 1, real, real + 1, real + 20):
+            got = textscan.common_length(x, y, least)
+            assert got == real if real >= least else real <= got < least
+    x, y = ("".join(r.choice(["a", "b"], 20_000)) for _ in range(2))
+    began = time.process_time()
+    textscan.common_length(lines._codes(x), lines._codes(y))
+    whole = time.process_time() - began
+    began = time.process_time()
+    assert not lines.similar_texts(x, y, 0.9)
+    assert time.process_time() - began < 0.8 * whole
+
+
 def test_short_lines(spark, tmp_path):
     """The query drops repeats of short lines; empty lines stay."""
     long = "a line that is long enough to be compared nearly"
