@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenforge.llm import decontaminate, quality, secrets, toxicity
+from lumenforge.llm import decontaminate, quality, scratch, secrets, toxicity
 from lumenforge.llm.textscan import common_length
 
 from .conftest import prose
@@ -59,6 +59,13 @@ def test_secrets(secret_rows, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_fit_writes_no_table(secret_rows):
+    """The findings are read once; each file of a table starts processes (chmod) on an executor."""
+    before = scratch.made()
+    assert secrets.fit(secret_rows, 200).report["n"] > 0
+    assert scratch.made() == before
+
+
 @pytest.mark.parametrize("n", [0, 1, 6, 7, 763])
 def test_network_tells_keys_from_words(n):
     """On findings that no part of the fit has seen, for any number of real ones."""
