@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenforge.llm import exact_dedup, lines, near_dedup, textscan, tiles
@@ -286,6 +287,42 @@ def test_recall_of_changed_lines(n_words):
             assert np.mean([f for f, s in zip(found, similar, strict=True) if s]) >= 0.95, (kind, n_words)
 
 
+def test_words_end_with_their_line():
+    """A line has the same words wherever it stands, also at the end of a text before one whose first line isn't looked at."""
+    first, line = "unlike the other lines of this text", "a line that stands at the end of a text"
+    found = []
+    for texts in ([f"{first}\n{line}"], [f"{line}\n{first}"], [line, "short"], [line, f"short\n{first}"]):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        m, starts, ends, _ = lines.normalised(data, np.cumsum([0, *(len(x) for x in texts)]))
+        some = [i for i in lines._long(m, starts, ends) if m[starts[i] : ends[i]].tobytes() == line.encode()]
+        words, n = lines.line_words(m, starts[some], ends[some])
+        assert n.tolist() == [10]
+        found.append(words.tolist())
+    assert all(x == found[0] for x in found)
+
+
+def test_packed_lines_make_the_same_groups():
+    """Lines and keys go to the buckets in one row a part; the groups are those of lines sorted by key, repeated lines or not."""
+    r = np.random.default_rng(9)
+    n = 3000
+    ids = r.integers(0, 2000, n)  # a third is there again
+    sims = (np.uint64(1) << r.integers(0, 64, 2000).astype(np.uint64)).view(np.int64)
+    rows = np.stack([ids, sims[ids], np.full(n, (100 << 32) | 30), np.zeros(n, np.int64), np.zeros(n, np.int64), ids * 7 - 5000])
+    keys = [[int(i % 400) - 200, 1 << 40 | int(i)] for i in ids]
+    batches = [pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 700]) for x in rows), pa.array(keys[a : a + 700], pa.list_(pa.int64()))], ["id", "sim", "shape", "low", "high", "spread", "keys"]) for a in range(0, n, 700)]
+    none = np.zeros(0, np.int64)
+    packed = list(lines._packed(16, none, none)(iter(batches)))
+    assert sum(len(x) for x in packed) == 16
+    assert sum(len(x) for b in packed for x in b.column("lines").to_pylist()) == 48 * 2 * n
+    whole = pa.Table.from_batches(packed).sort_by("part").combine_chunks()
+    groups = lambda found: {x for b in found for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    got = groups(lines._packed_buckets(0.9)(iter(whole.to_batches(max_chunksize=3))))
+    each = np.concatenate([np.concatenate([[[k] for k in keys[i]], np.repeat(rows[None, :5, i], 2, axis=0)], axis=1) for i in range(n)]).T
+    each = each[:, np.lexsort((each[1], each[0]))]
+    want = groups(lines._buckets(0.9)(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in each], list("abcdef"))])))
+    assert len(want) > 1000 and got == want
+
+
 def test_letters_bound_the_similarity():
     """No pair that is similar is ruled out."""
     r = random.Random(5)
