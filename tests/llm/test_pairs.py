@@ -256,6 +256,105 @@ def test_unlike_lines_stop_early():
     assert time.process_time() - began < 0.8 * whole
 
 
+def test_many_common_lengths():
+    """Longest common subsequences of many pairs at once are those of single pairs, or bounds under what is asked for."""
+    r = np.random.default_rng(7)
+    for kinds, longest in ((2, 40), (5, 130), (64, 300), (3, 700)):
+        xs, ys = ([r.integers(0, kinds, r.integers(1, longest)).astype(np.uint8) for _ in range(60)] for _ in range(2))
+        ys[:20] = [np.delete(x, r.integers(0, len(x), len(x) // 9)) if len(x) > 9 else x for x in xs[:20]]
+        real = np.array([textscan.common_length(x, y) for x, y in zip(xs, ys, strict=True)])
+        for least in (np.zeros(60, np.int64), real, real + 1, real + 30):
+            got = textscan.common_lengths(xs, ys, least)
+            assert (got >= real).all() and (got[real >= least] == real[real >= least]).all() and (got[real < least] < least[real < least]).all()
+
+
+@pytest.mark.parametrize("letters", ["abcde fghi", "".join(chr(0x4E00 + i) for i in range(300))])
+def test_pairs_together(monkeypatch, letters):
+    """Pairs that bounds don't decide are decided as one by one, without a run through the letters of each; with more than 64 kinds, too."""
+    r = random.Random(12)
+    pairs = []
+    for k in range(300):
+        x = [r.choice(letters) for _ in range(r.randrange(20, 400))]
+        y = [c if r.random() < 0.8 + 0.2 * (k % 3 > 0) - 0.1 * (k % 3 > 1) else r.choice(letters) for c in x]
+        pairs.append(("".join(x), "".join(y)))
+    want = [2 * textscan.common_length(lines._codes(x), lines._codes(y)) / (len(x) + len(y)) >= 0.9 for x, y in pairs]
+    assert 50 < sum(want) < 250
+    alone = []
+    monkeypatch.setattr(lines, "common_length", lambda *a: alone.append(1) or textscan.common_length(*a))
+    for far in (None, [k % 2 == 0 for k in range(300)]):
+        del alone[:]
+        assert lines.similar_pairs(pairs, 0.9, far).tolist() == want
+        assert len(letters) > 64 or len(alone) < 100
+
+
+def test_tiles_together(spark):
+    """Pairs tested many tiles at a time join what is linked, also where nearly all members stay open."""
+    r = random.Random(9)
+    values = {i: v for i, v in enumerate(r.sample(range(4000), 1500))}
+    asked = Counter()
+
+    def pairs(raw):
+        v = np.array([int(x) for x in raw])
+
+        def linked(i, j):
+            asked.update(zip(i.tolist(), j.tolist(), strict=True))
+            return np.abs(v[i] - v[j]) == 1
+
+        return linked
+
+    near = spark.createDataFrame([(c, i) for c in (0, 700) for i in values if i != c], "centre long, id long")
+    own = spark.createDataFrame([(i, str(v).encode()) for i, v in values.items()], "id long, payload binary")
+    got = tiles.links(near, lambda ids: own.join(ids, "id"), None, pairs).collect()
+    assert all(abs(values[x.a] - values[x.b]) == 1 for x in got)
+    both = {(x.a, x.b) for x in got} | {(x.b, x.a) for x in got}
+    want = components(1500, lambda i, j: abs(values[i] - values[j]) == 1)
+    assert components(1500, lambda i, j: (i, j) in both) == want
+    held = []
+    for k in range(40):
+        held.append(tiles._Tile(k * 100, None, pairs))
+        held[-1].add([k * 100 + i for i in range(k % 5 + 1)], [str(k * 100 + i // 2 * 7 + i % 2).encode() for i in range(k % 5 + 1)], False)
+    found = tiles._finish_together(held, pairs)
+    assert {(a, b) for a, b, is_open in found if not is_open} == {(k * 100 + i, k * 100 + i + 1) for k in range(40) for i in (0, 2) if i + 1 <= k % 5}
+    assert {(a, b) for a, b, is_open in found if is_open} == {(k * 100, k * 100 + i) for k in range(40) for i in range(2, k % 5 + 1)}
+    assert max(asked.values()) == 1  # no pair twice
+
+
+def test_groups_of_lines_of_many_lengths():
+    """In a large bucket any two lines that aren't ruled out are in one group, whatever their lengths."""
+    r = np.random.default_rng(3)
+    n = 300
+    shape = (r.integers(20, 300, n) << 32) | r.integers(1, 70, n)
+    sims = np.packbits(r.random((n, 64)) < 0.15, axis=1).view(np.uint64).ravel()
+    some = lines._Lines(sims, shape, r.integers(0, 3, (n, 16)).astype(np.uint8))
+    i, j = np.triu_indices(n, 1)
+    keep = some.near(i, j, 0.9)
+    groups = defaultdict(set)
+    for c, q in lines.near_stars(some, 0.9):
+        groups[c] |= {c, q}
+    assert len(keep) > 300
+    assert all(any({p, q} <= g for g in groups.values()) for p, q in zip(i[keep].tolist(), j[keep].tolist(), strict=True))
+    assert all(len(some.near(np.array([c]), np.array([q]), 0.9)) for c, q in lines.near_stars(some, 0.9))
+
+
+def test_classes_of_lines(spark):
+    """First places and numbers of the lines that are there again or near another one; null ids last, rows of one id by line number and hash."""
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(-9, 40)]), r.randrange(-(2**63), 2**63), [r.randrange(300) for _ in range(r.randrange(0, 9))]) for _ in range(120)]
+    df = spark.createDataFrame([(d, h, len(x), list(range(len(x))), x) for d, h, x in rows], "doc_id long, h long, n_lines int, no array<int>, id array<long>")
+    near = spark.createDataFrame([(0, 5), (0, 7), (20, 7), (999, 1000)], "centre long, id long")
+    places = defaultdict(list)
+    for d, h, x in rows:
+        for no, i in enumerate(x):
+            places[i].append((d is None, d or 0, no, h))
+    want = {i: (min(p), len(p)) for i, p in places.items() if len(p) > 1 or i in (0, 5, 7, 20)}
+    got = {}
+    for x in lines.line_classes(df.repartition(7), near).collect():
+        if x.id not in (999, 1000):
+            got[x.id] = ((x.first.unnamed, x.first.doc_id or 0, x.first.no, x.first.h), x.n)
+            assert x.first.unnamed == (x.first.doc_id is None)
+    assert got == want
+
+
 def test_short_lines(spark, tmp_path):
     """The query drops repeats of short lines; empty lines stay."""
     long = "a line that is long enough to be compared nearly"
