@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -135,23 +136,37 @@ def ulp_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(x - y)
 
 
-def bootstrap_bounds(values: list[float], seed: int, resamples: int = 20_000, level: float = 0.95) -> tuple[float, float]:
-    """Interval of the median under resampling, by linear percentiles."""
-    values = sorted(values)
-    if not values or values[0] == values[-1]:
-        return (values[0], values[-1]) if values else (float("nan"),) * 2
-    r = random.Random(seed)
-    medians = np.median(np.array([r.choices(values, k=len(values)) for _ in range(resamples)]), axis=1)
+#: Draws of resampling that are held at a time, or those of one resample if it has more.
+DRAWS = 1 << 19
+
+
+def bootstrap_bounds(values: Sequence[float], seed: int, resamples: int = 20_000, level: float = 0.95) -> tuple[float, float]:
+    """Interval of the median under resampling, by linear percentiles. The draws are those of ``random.Random(seed).choices``."""
+    values = np.sort(np.asarray(values, dtype=np.float64))
+    n = len(values)
+    if not n or values[0] == values[-1]:
+        return (float(values[0]), float(values[-1])) if n else (float("nan"),) * 2
+    *key, at = random.Random(seed).getstate()[1]
+    r = np.random.RandomState()
+    r.set_state(("MT19937", key, at))  # the same generator
+    medians, step = np.empty(resamples), max(1, DRAWS // n)
+    middle = [(n - 1) // 2, n // 2]
+    for a in range(0, resamples, step):
+        draws = r.random_sample((min(step, resamples - a), n))
+        draws *= n
+        draws = draws.astype(np.int32)  # places of sorted values, so the middle place has the middle value
+        draws.partition(sorted(set(middle)), axis=1)
+        medians[a : a + step] = values[draws[:, middle]].mean(axis=1)
     low, high = np.quantile(medians, [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)
 
 
 def bootstrap(rows: DataFrame, by: list[str], x: str, seed: int = 1, resamples: int = 2000) -> DataFrame:
-    """Median of each group and its bootstrap interval. Groups are the repetitions of one measurement, so small."""
+    """Median of each group and its bootstrap interval. A task holds the values of one group, and ``DRAWS`` of its resamples at a time."""
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap_bounds(pdf[x].dropna().tolist(), seed, resamples)
+        low, high = bootstrap_bounds(pdf[x].dropna(), seed, resamples)
         return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, "median": float(pdf[x].median()), "low": low, "high": high}])
 
     return rows.select(*by, F.col(x).cast("double").alias(x)).groupBy(*by).applyInPandas(run, f"{kinds}, median double, low double, high double")

@@ -19,6 +19,23 @@ def test_bootstrap():
     assert S.bootstrap_bounds([2.0, 2.0], 1) == (2.0, 2.0)
 
 
+def test_bootstrap_draws_and_memory():
+    """The draws are those of random.choices, and they aren't held all at once."""
+    import random
+    import tracemalloc
+
+    for n in (2, 7, 1000):
+        values = sorted(np.random.default_rng(n).normal(size=n).round(2).tolist())
+        r = random.Random(n)
+        medians = np.median(np.array([r.choices(values, k=n) for _ in range(700)]), axis=1)
+        assert S.bootstrap_bounds(values[::-1], n, 700) == tuple(np.quantile(medians, [0.025, 0.975]).tolist())
+    tracemalloc.start()
+    S.bootstrap_bounds(np.arange(20_000.0), 1, 500)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+
+
 def test_ulp():
     a = np.array([1.0, -0.0, 1.0], np.float32)
     b = np.array([np.nextafter(np.float32(1), np.float32(2)), 0.0, 1.0], np.float32)
