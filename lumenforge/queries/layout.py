@@ -15,7 +15,7 @@ from lumenforge.plans.limits import LIMITS
 from lumenforge.sources import requests as R
 from lumenforge.sources import sinks
 
-from . import query, table
+from . import dealt, query, table
 
 _O = """o AS (SELECT DISTINCT l_orderkey // 20 AS batch_id, (l_orderkey % 20)::INT AS request_index, l_linenumber AS message_index, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS content_item_index,
   CASE WHEN l_linenumber % 2 = 0 THEN 'image' ELSE 'video' END AS modality, 4 * (l_partkey % 64 + 1) AS patch_rows, l_partkey, l_suppkey FROM lineitem)"""
@@ -25,9 +25,11 @@ _PLACE = "request_index, message_index, content_item_index"
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
-    return table(spark, sf_dir, "lineitem").select(
-        F.floor(F.col("l_orderkey") / 20).alias("batch_id"), (F.col("l_orderkey") % 20).cast("int").alias("request_index"), F.col("l_linenumber").alias("message_index"), nth.cast("int").alias("content_item_index"),
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.floor(F.col("l_orderkey") / 20).alias("batch_id"), (F.col("l_orderkey") % 20).cast("int").alias("request_index"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    nth = F.row_number().over(Window.partitionBy("batch_id", "request_index", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) - 1
+    return dealt(rows, lines, "batch_id").select(
+        "batch_id", "request_index", F.col("l_linenumber").alias("message_index"), nth.cast("int").alias("content_item_index"),
         F.when(F.col("l_linenumber") % 2 == 0, "image").otherwise("video").alias("modality"), (4 * (F.col("l_partkey") % 64 + 1)).alias("patch_rows"), "l_partkey", "l_suppkey",
     )
 

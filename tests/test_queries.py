@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import re
 
 import duckdb
 import pytest
@@ -57,3 +59,14 @@ def test_long_conversations(spark, tmp_path, name):
     columns = [d[0] for d in found.description]
     mine = QUERIES[name](spark, str(tmp_path)).collect()
     assert sorted(tuple(norm(r[x]) for x in columns) for r in mine) == sorted(tuple(norm(x) for x in r) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["order_faults"])
+def test_partitions_follow_the_table(spark, sf, name, monkeypatch):
+    """Rows of batches are dealt once, to more partitions the longer the table is: a task's sorts don't grow with it."""
+    from lumenforge import queries
+
+    monkeypatch.setattr(queries, "PART", 1 << 13, raising=False)
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    counts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)]
+    assert len(counts) == 1 and counts[0] >= os.path.getsize(f"{sf}/lineitem.parquet") >> 13
