@@ -139,7 +139,8 @@ def referenced_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY first_use, l_suppkey) - 1)::INT AS slot FROM u) SELECT l_orderkey, l_suppkey, slot FROM s""")
 def first_use_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-29: suppliers as shared buffers, numbered by first use in an order"""
-    uses = table(spark, sf_dir, "lineitem").select(F.lit(0).alias("batch_id"), F.col("l_orderkey").alias("request_index"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"), F.col("l_suppkey").alias("buffer"))
+    lines = table(spark, sf_dir, "lineitem")
+    uses = dealt(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), lines, "l_orderkey").select(F.lit(0).alias("batch_id"), F.col("l_orderkey").alias("request_index"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"), F.col("l_suppkey").alias("buffer"))
     order = F.struct("ordinal", "buffer")
     return R.first_use(uses.withColumn("ordinal", order)).select(F.col("request_index").alias("l_orderkey"), F.col("buffer").alias("l_suppkey"), "slot").distinct()
 
@@ -148,8 +149,9 @@ def first_use_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT batch_id, request_index, l_linenumber, l_partkey, l_suppkey, (row_number() OVER (PARTITION BY batch_id, request_index ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1)::INT AS input_index FROM s""")
 def inline_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-12"""
-    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 20).alias("batch_id"), (F.col("l_orderkey") % 20).cast("int").alias("request_index"), F.col("l_linenumber").alias("message_index"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("content_item_index"))
-    out = R.inline_media(rows)
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.floor(F.col("l_orderkey") / 20).alias("batch_id"), (F.col("l_orderkey") % 20).cast("int").alias("request_index"), F.col("l_linenumber").alias("message_index"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("content_item_index"))
+    out = R.inline_media(dealt(rows, lines, "batch_id"))
     return out.select("batch_id", "request_index", F.col("message_index").alias("l_linenumber"), "content_item_index.l_partkey", "content_item_index.l_suppkey", "input_index")
 
 

@@ -109,8 +109,7 @@ def inline_media(items: DataFrame) -> DataFrame:
 
 
 def first_use(uses: DataFrame) -> DataFrame:
-    """Numbers shared buffers by request in the order of first use. uses: batch_id, request_index, ordinal, buffer. Adds slot."""
+    """Numbers shared buffers by request in the order of first use, then by buffer. uses: batch_id, request_index, ordinal, buffer (rows without a request or buffer are left out). Adds slot."""
     by = ["batch_id", "request_index"]
-    firsts = uses.groupBy(*by, "buffer").agg(F.min("ordinal").alias("_first"))
-    slots = firsts.withColumn("slot", F.row_number().over(Window.partitionBy(*by).orderBy("_first")) - 1).drop("_first")
-    return uses.join(slots, [*by, "buffer"])
+    rows = uses.dropna(subset=[*by, "buffer"]).withColumn("_first", F.min("ordinal").over(Window.partitionBy(*by, "buffer")))
+    return rows.withColumn("slot", F.dense_rank().over(Window.partitionBy(*by).orderBy("_first", "buffer")) - 1).drop("_first")

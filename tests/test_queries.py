@@ -61,7 +61,7 @@ def test_long_conversations(spark, tmp_path, name):
     assert sorted(tuple(norm(r[x]) for x in columns) for r in mine) == sorted(tuple(norm(x) for x in r) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["order_faults", "occurrence_offsets", "server_fields"])
+@pytest.mark.parametrize("name", ["order_faults", "occurrence_offsets", "server_fields", "first_use_slots", "inline_inputs"])
 def test_partitions_follow_the_table(spark, sf, name, monkeypatch):
     """Rows of batches are dealt once, to more partitions the longer the table is: a task's sorts don't grow with it."""
     from lumenforge import queries
