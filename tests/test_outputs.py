@@ -93,3 +93,24 @@ def test_events_are_bounded(spark):
 
 def test_exceptions_by_category():
     assert set(errors.BY_CATEGORY) == set(errors.PRECEDENCE) and isinstance(errors.raised("media_decode", "x", at=1), errors.MediaDecodeError)
+
+
+def test_tokens_leave_in_slices():
+    """A worker holds the tokens of a few texts, not of a whole batch."""
+    import os
+
+    import pandas as pd
+    import pytest
+
+    from lumenforge.functions import tokens as T
+    from lumenforge.queries.requests import TOKENIZER
+
+    if not os.path.exists(TOKENIZER):
+        pytest.skip("no tokenizer")
+    texts = [None if k % 7 == 3 else f"text {k} " * (k % 5) for k in range(700)]
+    parts = list(T.tokenizer(TOKENIZER).func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert max(map(len, parts)) <= 256
+    found = [(None, None, None) if x is None else (list(x), list(y), z) for part in parts for x, y, z in part.itertuples(index=False)]
+    assert found == [(None, None, None) if x is None else T.encoded(TOKENIZER, x) for x in texts]
+    decoded = [x for part in T.decoder(TOKENIZER).func(iter([pd.Series([x for x, _, _ in found])])) for x in part]
+    assert decoded == texts
