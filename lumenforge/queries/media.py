@@ -16,7 +16,7 @@ from lumenforge.plans.engine import Engine
 from lumenforge.sources.media import from_data_uri
 from lumenforge.sources.requests import options
 
-from . import query, table
+from . import query, spread, table
 
 
 @query("SELECT p_partkey, (p_partkey * 7 % 256 * (p_size * 5 % 256) + 255 * (255 - p_size * 5 % 256) + 127) // 255 AS channel FROM part")
@@ -94,7 +94,7 @@ def picture_requests(spark: SparkSession, sf_dir: str, per_batch: int = 8) -> Da
 
 def pictured(rows: DataFrame, per_batch: int = 8) -> DataFrame:
     """Requests with a made picture of each row's size. rows: s_suppkey, h, w; spread over all cores before pictures are made."""
-    rows = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "s_suppkey")
+    rows = spread(rows, "s_suppkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

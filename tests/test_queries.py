@@ -70,3 +70,12 @@ def test_partitions_follow_the_table(spark, sf, name, monkeypatch):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     counts = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)]
     assert len(counts) == 1 and counts[0] >= os.path.getsize(f"{sf}/lineitem.parquet") >> 13
+
+
+def test_partitions_follow_the_pictures(spark, sf, monkeypatch):
+    """Pictures are dealt to more partitions the more bytes they have, so a worker's batches stay as small."""
+    from lumenforge import queries
+    from lumenforge.queries.media import picture_requests
+
+    monkeypatch.setattr(queries, "PICTURES", 1 << 13, raising=False)
+    assert picture_requests(spark, sf).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
